@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import io
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,11 +58,14 @@ def metadata(book: DataFrame, **counts: DataFrame) -> DataFrame:
     for name, table in counts.items():
         n = table.groupBy("book_id").agg(F.count("*").alias("n"))
         book = book.join(n, "book_id", "left")
-        entry = F.create_map(F.lit(f"{name}_count"), F.coalesce("n", F.lit(0)).cast("string"))
-        book = book.withColumn("metadata", F.map_concat(F.map_filter("metadata", lambda k, _, name=name: k != f"{name}_count"), entry)).drop("n")
+        book = book.withColumn("metadata", _with_entry(f"{name}_count", F.coalesce("n", F.lit(0)).cast("string"))).drop("n")
     return book
 
 
+def _with_entry(key: str, value: Column) -> Column:
+    return F.map_concat(F.map_filter("metadata", lambda k, _: k != key), F.create_map(F.lit(key), value))
+
+
 def overwrite_books(rows: DataFrame, path: str) -> None:
     """Replace the partitions (file_hash) that rows hold, leaving other books as they are."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_hash").parquet(path)

@@ -1,0 +1,184 @@
+"""Queries on themes and concepts of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from folioscope.functions import text as T
+from folioscope.operators import concepts as C
+from folioscope.operators import themes as H
+from folioscope.plans.registry import query
+from folioscope.plans.text_queries import word_blocks
+from folioscope.plans.views import BLOCKS, WORD, table
+
+_RUNS = (
+    BLOCKS
+    + """,
+flag as (select *, case when lag(chapter_title) over (partition by book order by order_number) = chapter_title then 0 else 1 end as fresh from block),
+run0 as (select * exclude (fresh), cast(sum(fresh) over (partition by book order by order_number) as integer) as run from flag),
+run as (select *, cast(row_number() over (partition by book, run order by order_number) as integer) as local, count(*) over (partition by book, run) as run_size from run0)"""
+)
+_SEGMENTS = (
+    _RUNS
+    + """,
+parts as (select *, case when run_size <= 2 then 1 when run_size <= 5 then 2 when run_size <= 9 then 3 else 4 end as k from run),
+cell as (select *, case when local <= (run_size % k) * (run_size // k + 1) then (local - 1) // (run_size // k + 1) + 1 else (run_size % k) + (local - 1 - (run_size % k) * (run_size // k + 1)) // greatest(run_size // k, 1) + 1 end as part from parts),
+ranked as (select *, row_number() over (partition by book, run, part order by order_number) as r from cell),
+theme as (select book, cast(row_number() over (partition by book order by run, part) as integer) as theme, run, part, any_value(chapter_title) as chapter_title, any_value(chapter_title) || ' — часть ' || cast(part as varchar) as title, min(order_number) as start_block, max(order_number) as end_block,
+  trim(regexp_replace(string_agg(short_summary, ' ' order by order_number) filter (r <= 2), '\\s+', ' ', 'g'), ' ') as summary from ranked group by book, run, part)"""
+)
+
+
+@query(f"with recursive {_RUNS} select book, order_number, run, local, run_size from run")
+def chapter_runs(spark, sf_dir):
+    return H.chapter_runs(word_blocks(spark, sf_dir)).select("book", "order_number", "run", "local", "run_size")
+
+
+@query("select o_custkey, count(*) as n, case when count(*) <= 2 then 1 when count(*) <= 5 then 2 when count(*) <= 9 then 3 else 4 end as themes from orders group by o_custkey")
+def theme_count(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).withColumn("themes", H.theme_count(F.col("n")))
+
+
+@query("""select o_custkey, o_orderkey, cast(ntile(4) over (partition by o_custkey order by o_orderkey) as integer) as part from orders""")
+def contiguous_split(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w.orderBy("o_orderkey")).alias("i"), F.count("*").over(w).alias("n"))
+    return rows.select("o_custkey", "o_orderkey", H.even_part(F.col("i"), F.col("n"), F.lit(4)).cast("int").alias("part"))
+
+
+@query(f"with recursive {_SEGMENTS} select book, theme, title, start_block, end_block, summary from theme")
+def theme_segments(spark, sf_dir):
+    return H.theme_segments(word_blocks(spark, sf_dir)).select("book", "theme", "title", "start_block", "end_block", "summary")
+
+
+@query(f"with recursive {_SEGMENTS} select t.book, theme, order_number, token_count from theme t join block b on t.book = b.book and order_number between start_block and end_block")
+def theme_range_join(spark, sf_dir):
+    blocks = word_blocks(spark, sf_dir)
+    return H.theme_blocks(H.theme_segments(blocks), blocks).select("book", "theme", "order_number", "token_count")
+
+
+@query(f"with recursive {_SEGMENTS} select book, theme, left(summary, 2000) as summary from theme")
+def theme_summaries(spark, sf_dir):
+    blocks = word_blocks(spark, sf_dir)
+    return H.theme_summaries(H.theme_segments(blocks), blocks)
+
+
+_LOW = f"select doc_id, list_transform(regexp_extract_all(text, '{WORD}'), lambda w: lower(w)) as w from documents"
+_NOUN = "length({0}) > 3 and regexp_full_match({0}, '[a-zа-яё]+')"
+
+
+@query(f"""with t as ({_LOW}), g as (select doc_id, i as pos, n as span, list_slice(w, i, i + n - 1) as g from t, unnest(range(1, len(w) + 1)) as u(i), (values (2), (3)) v(n) where i + n - 1 <= len(w)),
+ok as (select doc_id, pos, span, array_to_string(g, ' ') as phrase from g where len(list_filter(g, lambda x: {_NOUN.format('x')})) = span),
+c as (select doc_id, phrase, count(*) as n, min(pos * 10 + span) as f from ok group by 1, 2),
+r as (select *, cast(row_number() over (partition by doc_id order by n desc, f) as integer) as rank from c) select doc_id, rank, phrase, n from r where rank <= 4""")
+def topic_ngrams(spark, sf_dir):
+    return H.topic_ngrams(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query(f"""with t as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from ({_LOW})), c as (select doc_id, word, count(*) as n, min(pos) as f from t where {_NOUN.format('word')} group by 1, 2),
+r as (select *, cast(row_number() over (partition by doc_id order by n desc, f) as integer) as rank from c) select doc_id, rank, word as noun, n from r where rank <= 8""")
+def topic_nouns(spark, sf_dir):
+    return H.topic_nouns(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query()
+def theme_subtopics(spark, sf_dir):
+    blocks = word_blocks(spark, sf_dir)
+    themes = H.theme_segments(blocks)
+    return H.fallback_subtopics(themes, H.theme_blocks(themes, blocks).select("book", "theme", F.col("source_text").alias("text")).groupBy("book", "theme").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n\n").alias("text")))
+
+
+@query("""with s as (select conv_id as book, role, turn, lower(left(text, 6)) as nm from conversations), n as (select book, turn, array_to_string(list_filter(regexp_extract_all(nm, '[A-Za-zА-Яа-яЁё0-9-]+'), lambda w: not regexp_full_match(w, '[0-9]+')), ' ') as normalized_name from s),
+d as (select book, normalized_name, min(turn) as idx from n group by 1, 2), r as (select *, row_number() over (partition by book order by idx) as k from d) select book, idx, normalized_name from r where k <= 4""")
+def subtopic_dedupe(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.lit(1).alias("theme"), F.col("turn").alias("idx"), F.left("text", F.lit(6)).alias("name"))
+    return H.deduplicated_subtopics(rows).select("book", "idx", "normalized_name")
+
+
+@query("""select c.c_custkey as book, cast(null as integer) as start_block from customer c where false""")
+def whole_book_themes(spark, sf_dir):
+    """Every book of the test tables has themes, so none is made up."""
+    blocks = word_blocks(spark, sf_dir)
+    return H.whole_book_themes(blocks, H.theme_segments(blocks)).select(F.col("book"), "start_block")
+
+
+@query(f"""with t as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from ({_LOW})), c as (select doc_id, word, count(*) as freq, min(pos) as f from t where {_NOUN.format('word')} group by 1, 2),
+r as (select *, cast(row_number() over (partition by doc_id order by freq desc, f) as integer) as rank, max(freq) over (partition by doc_id) as top from c)
+select doc_id, rank, word as name, freq, cast(floor(greatest(0.1, cast(freq as double) / top) * 100 + 0.5) as bigint) as share_e2 from r where rank <= 7""")
+def freq_concepts(spark, sf_dir):
+    rows = C.frequent_concepts(table(spark, sf_dir, "documents"), ["doc_id"])
+    top = F.floor(F.greatest(F.lit(0.1), F.col("freq") / F.max("freq").over(_by("doc_id"))) * 100 + 0.5)
+    return rows.select("doc_id", "rank", "name", "freq", top.cast("long").alias("share_e2"))
+
+
+def _by(*keys: str):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(*keys)
+
+
+@query("""with i as (select user_id, event_id as seq, event_type || ' ' || cast(event_id % 7 as varchar) as name, greatest(0.0, least(1.0, value / 50)) as score from events),
+d as (select *, row_number() over (partition by user_id, lower(name) order by seq) as k from i), r as (select *, cast(row_number() over (partition by user_id order by score desc, seq) as integer) as rank from d where k = 1)
+select user_id, rank, name from r where rank <= 10""")
+def clean_concepts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    name = F.concat("event_type", F.lit(" "), (F.col("event_id") % 7).cast("string"))
+    rows = e.select("user_id", F.col("event_id").alias("seq"), name.alias("name"), F.lit("").alias("short_explanation"), F.lit("").alias("source_quote"), (F.col("value") / 50).cast("string").alias("importance_score"), F.lit("en").alias("hint"))
+    return C.clean_concepts(rows, ["user_id"]).select("user_id", "rank", "name")
+
+
+@query("""with f as (select o_custkey as user_id, cast(row_number() over (partition by o_custkey order by o_orderkey) as integer) as rank, 'c' || cast(o_orderkey % 5 as varchar) as name from orders where o_orderkey % 9 = 0),
+g as (select user_id, rank, name from f where rank <= 2), s as (select c_custkey as user_id, i as rank, 'C' || cast(i as varchar) as name from customer, unnest(range(1, 5)) as u(i)),
+e as (select s.* from s where not exists (select 1 from g where g.user_id = s.user_id and lower(g.name) = lower(s.name))),
+a as (select user_id, 0 as kind, rank, name from g union all select user_id, 1, rank, name from e), k as (select *, cast(row_number() over (partition by user_id order by kind, rank) as integer) as k from a)
+select user_id, k as rank, name, cast(kind as integer) as kind from k where (kind = 0 or k <= 3) and k <= 10""")
+def topup_concepts(spark, sf_dir):
+    from pyspark.sql import Window
+
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0")
+    found = o.select(F.col("o_custkey").alias("user_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rank"), F.concat(F.lit("c"), (F.col("o_orderkey") % 5).cast("string")).alias("name")).where("rank <= 2")
+    spare = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("rank")).withColumn("name", F.concat(F.lit("C"), F.col("rank").cast("string")))
+    return C.topped_up(found, spare, ["user_id"])
+
+
+@query(f"""with s as (select doc_id, unnest(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) as sentence, generate_subscripts(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) - 1 as seq from documents),
+m as (select doc_id, seq, sentence, array_to_string(list_slice(regexp_extract_all(regexp_extract(sentence, '^([^.!?]{{1,120}}?)\\s+(?:is|est|ist|es)\\s+(.+)$', 1), '{WORD}'), 1, 4), ' ') as term from s where regexp_matches(sentence, '^([^.!?]{{1,120}}?)\\s+(?:is|est|ist|es)\\s+(.+)$')),
+v as (select *, list_transform(regexp_extract_all(term, '{WORD}'), lambda w: lower(w)) as w from m where length(term) >= 2),
+o as (select *, array_to_string(w, ' ') as normalized_term from v where len(w) between 1 and 4 and len(list_filter(w, lambda x: {_NOUN.format('x')})) > 0),
+r as (select *, row_number() over (partition by doc_id, normalized_term order by length(sentence) desc, seq) as k from o) select doc_id, normalized_term, sentence as definition, cast(seq as bigint) as seq from r where k = 1""")
+def definition_terms(spark, sf_dir):
+    """With a copula of the test tables' languages in place of the Russian patterns, which their own tests cover."""
+    found = C.definition_terms(table(spark, sf_dir, "documents"), ["doc_id"], [(r"^([^.!?]{1,120}?)\s+(?:is|est|ist|es)\s+(.+)$", 1)])
+    return found.select("doc_id", "normalized_term", "definition", F.col("seq").cast("long").alias("seq"))
+
+
+@query(f"""with c as (select doc_id, w, count(*) as n from (select doc_id, unnest(list_transform(regexp_extract_all(text, '{WORD}'), lambda w: lower(w))) as w from documents) where not regexp_full_match(w, '[0-9]+') group by 1, 2),
+t as (select doc_id, array_to_string(list_transform(list_slice(regexp_extract_all(text, '{WORD}'), 2, 4), lambda w: lower(w)), ' ') as term from documents)
+select t.doc_id, term as normalized_term, greatest(1, min(coalesce(n, 1))) as frequency from (select doc_id, term, unnest(string_split(term, ' ')) as w from t) t left join c using (doc_id, w) group by 1, 2""")
+def term_frequency(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    terms = docs.select("doc_id", F.array_join(F.slice(T.lower_words(F.col("text")), 2, 3), " ").alias("normalized_term"))
+    return C.term_frequency(terms, C.lemma_counts(docs, ["doc_id"]), ["doc_id"])
+
+
+@query("""select min(p_partkey) as concept, lower(p_name) as normalized_name, count(*) as n from part group by 2""")
+def concept_exact(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.concat_ws(" ", F.transform(F.split("p_name", " "), F.lower)).alias("normalized_name"))
+    return rows.groupBy("normalized_name").agg(F.min("seq").alias("concept"), F.count("*").alias("n"))
+
+
+@query()
+def concept_resolution(spark, sf_dir):
+    """Part types as concept names, each with a letter more or less in later writes."""
+    parts = table(spark, sf_dir, "part")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_type", F.lit("s"))).otherwise(F.col("p_type"))
+    return C.resolved(parts.select(F.col("p_partkey").alias("seq"), name.alias("name"), F.lit("").alias("description")))
+
+
+@query("""with w as (select l_orderkey * 8 + l_linenumber as seq, l_partkey as concept, l_orderkey % 64 as block, l_comment from (select *, '' as l_comment from lineitem)),
+r as (select *, row_number() over (partition by concept, block order by seq desc) as k, count(*) over (partition by concept, block) as writes from w) select concept, block, seq, writes from r where k = 1""")
+def mention_upsert(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.col("l_partkey").alias("concept"), (F.col("l_orderkey") % 64).alias("block"))
+    return C.last_mentions(rows).select("concept", "block", "seq", "writes")

@@ -1,0 +1,299 @@
+"""Queries on a library, its map and exports, and on sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from folioscope.functions import text as T
+from folioscope.operators import export as X
+from folioscope.operators import graph as G
+from folioscope.operators import library as L
+from folioscope.plans.registry import query
+from folioscope.plans.views import LIBRARY, blocks, concepts, edits, mentions, table, user_books
+from folioscope.sources import books as B
+
+
+@query(f"with {LIBRARY} select id, title from user_book where user_id = 7 order by uploaded_at desc, id desc limit 20")
+def my_books(spark, sf_dir):
+    return L.my_books(user_books(spark, sf_dir), 7).select("id", "title")
+
+
+@query(f"with {LIBRARY} select id, coalesce(b.n, 0) as blocks_count, coalesce(m.n, 0) as mentions_count from user_book left join (select book_id, count(*) as n from block group by 1) b using (book_id) left join (select book_id, count(*) as n from mention group by 1) m using (book_id)")
+def book_counts(spark, sf_dir):
+    return L.with_counts(user_books(spark, sf_dir), "book_id", blocks=blocks(spark, sf_dir), mentions=mentions(spark, sf_dir)).select("id", "blocks_count", "mentions_count")
+
+
+@query(f"with {LIBRARY} select user_id, count(*) as books, count(*) filter (is_protected) as protected, case when count(*) >= 5 then arg_min(id, (uploaded_at, id)) filter (not is_protected) end as oldest_free from user_book group by user_id")
+def library_header(spark, sf_dir):
+    return L.library_header(user_books(spark, sf_dir), 5)
+
+
+@query(f"""with {LIBRARY}, h as (select user_id, count(*) as n, arg_min(id, (uploaded_at, id)) filter (not is_protected) as o from user_book group by user_id)
+select user_id, n < 5 as can_upload, n >= 5 and o is not null as need_confirmation, case when n < 5 then 'ok' when o is null then 'all_protected' else 'confirm' end as reason, case when n >= 5 then o end as book_to_delete from h""")
+def rotation_candidate(spark, sf_dir):
+    return L.rotation(user_books(spark, sf_dir), limit=5)
+
+
+@query(f"""with {LIBRARY}, h as (select user_id, count(*) as n, count(*) filter (not is_protected) as free from user_book group by user_id)
+select c_custkey as user_id, c_nationkey % 4 as files, case when coalesce(n, 0) + c_nationkey % 4 <= 12 or c_custkey % 2 = 0 then 200 when coalesce(free, 0) = 0 then 400 else 409 end as status from customer left join h on user_id = c_custkey""")
+def batch_limit(spark, sf_dir):
+    req = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_nationkey") % 4).alias("files"), (F.col("c_custkey") % 2 == 0).alias("confirmed"))
+    return L.batch_check(req, user_books(spark, sf_dir), 12)
+
+
+@query("""with f as (select doc_id, source, n_chars * 40000 as size, sha256(text) as h from documents), c as (select sha256(text) as h, bool_or(quality is not null) as themes from documents left join labels using (doc_id) group by 1)
+select doc_id as user_id, case when size > 52428800 then 'too_large' when doc_id % 5 = 0 then 'bad_extension' when themes then 'ready' else 'processing' end as verdict,
+  case when size > 52428800 then false when doc_id % 5 = 0 then false when themes then false else true end as force_reanalyze from f join c using (h)""")
+def cache_reuse(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    files = docs.select(F.col("doc_id").alias("user_id"), F.when(F.col("doc_id") % 5 == 0, "a.doc").otherwise(" A.FB2 ").alias("filename"), (F.col("n_chars") * 40000).alias("size"), F.sha2("text", 256).alias("file_hash"))
+    cache = docs.join(labels, "doc_id", "left").groupBy(F.sha2("text", 256).alias("file_hash")).agg(F.lit(True).alias("has_blocks"), F.bool_or(F.col("quality").isNotNull()).alias("has_themes"))
+    return L.upload_gate(files, cache).select("user_id", "verdict", "force_reanalyze")
+
+
+@query("select distinct sha256(text) as file_hash from documents where sha256(text) in (select sha256(text) from documents join labels using (doc_id) where quality = 1) and sha256(text) in (select sha256(text) from documents join labels using (doc_id) where toxic = 0)")
+def analysis_ready(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash")), table(spark, sf_dir, "labels")
+    own = docs.join(labels, "doc_id")
+    return L.analysis_ready(docs.select("file_hash").distinct(), own.where("quality = 1"), own.where("toxic = 0"))
+
+
+@query("""with b as (select doc_id as id, sha256(text) as h, case when doc_id % 3 = 0 then source end as file from documents)
+select b.id, d.donor_id, d.file from b join (select h, max(id) as donor_id, arg_max(file, id) as file from b where file is not null group by h) d using (h) where b.file is null""")
+def donor_files(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("file_hash"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("file"), F.col("doc_id").alias("uploaded_at"))
+    return L.donors(rows)
+
+
+@query(f"""with {LIBRARY} select id, title, (select count(*) from block b where b.book_id = u.book_id) as blocks_count, coalesce(v.views, 0) as views from user_book u left join (select user_id, count(*) as views from events where event_type = 'view' group by 1) v using (user_id)""")
+def book_detail(spark, sf_dir):
+    views = L.view_counts(table(spark, sf_dir, "events")).select("user_id", "views")
+    rows = L.with_counts(user_books(spark, sf_dir), "book_id", blocks=blocks(spark, sf_dir)).join(views, "user_id", "left")
+    return rows.select("id", "title", "blocks_count", F.coalesce("views", F.lit(0)).alias("views"))
+
+
+@query(f"with {LIBRARY} select order_number, n as concepts_count from block join (select book_id, block_no as order_number, count(*) as n from mention group by 1, 2) using (book_id, order_number) where book_id = 3 order by order_number limit 30")
+def blocks_page(spark, sf_dir):
+    own = blocks(spark, sf_dir).where("book_id = 3")
+    counts = mentions(spark, sf_dir).where("book_id = 3").groupBy(F.col("block_no").alias("order_number")).agg(F.count("*").alias("concepts_count"))
+    return L.page(own.join(counts, "order_number", "left"), [F.asc("order_number")], 1, 30, 200).select("order_number", "concepts_count")
+
+
+@query(f"with {LIBRARY} select mention_id, name, importance, coalesce(custom, explanation) as effective, user_id from mention join concept using (concept_id) left join edit using (mention_id) join (select distinct user_id, book_id from user_book) using (book_id) where block_no = 1")
+def block_detail(spark, sf_dir):
+    rows = mentions(spark, sf_dir).where("block_no = 1").join(concepts(spark, sf_dir), "concept_id")
+    rows = L.effective_explanations(rows, L.edit_state(edits(spark, sf_dir)))
+    return L.visible(rows, user_books(spark, sf_dir)).select("mention_id", "name", "importance", "effective", "user_id")
+
+
+@query(f"with {LIBRARY} select mention_id, concept_id, name from mention join concept using (concept_id) where book_id = 5 and contains(upper(name), 'E') order by importance desc, mention_id limit 50")
+def book_concepts(spark, sf_dir):
+    return L.book_concepts(mentions(spark, sf_dir), concepts(spark, sf_dir), 5, "e").select("mention_id", "concept_id", "name")
+
+
+@query(f"with {LIBRARY} select user_id, concept_id, name, count(distinct mention_id) as mentions, array_to_string(list_sort(list(distinct title)), ', ') as titles from mention join user_book using (book_id) join concept using (concept_id) group by 1, 2, 3")
+def all_concepts(spark, sf_dir):
+    return L.all_concepts(mentions(spark, sf_dir), concepts(spark, sf_dir), user_books(spark, sf_dir))
+
+
+@query(f"with {LIBRARY} select user_id, mention_id, importance from mention join user_book using (book_id) where concept_id = 11")
+def concept_detail(spark, sf_dir):
+    return L.visible(mentions(spark, sf_dir).where("concept_id = 11"), user_books(spark, sf_dir), keep_duplicates=True).select("user_id", "mention_id", "importance")
+
+
+@query(f"with {LIBRARY} select mention_id, coalesce(custom, explanation) as effective from mention left join edit using (mention_id)")
+def effective_explanation(spark, sf_dir):
+    return L.effective_explanations(mentions(spark, sf_dir), L.edit_state(edits(spark, sf_dir))).select("mention_id", "effective")
+
+
+@query(f"with {LIBRARY} select mention_id, custom from edit")
+def edit_state(spark, sf_dir):
+    return L.edit_state(edits(spark, sf_dir)).select("mention_id", "custom")
+
+
+@query(f"with {LIBRARY} select user_id, book_id, arg_max(id, (uploaded_at, id)) as user_book_id from user_book group by 1, 2")
+def latest_user_book(spark, sf_dir):
+    return L.latest_books(user_books(spark, sf_dir))
+
+
+@query(f"""with {LIBRARY}, s as (select p_partkey as concept_id, cast(p_size as double) / 100 as score from part order by score desc, concept_id limit 10),
+f as (select concept_id from concept where contains(upper(name), 'RED') or contains(upper(normalized_name), 'RED') union select concept_id from s) select concept_id, name, coalesce(score, 0.0) as score from f join concept using (concept_id) left join s using (concept_id)""")
+def concept_search(spark, sf_dir):
+    scores = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("concept_id"), (F.col("p_size").cast("double") / 100).alias("score"))
+    return L.hybrid_search(concepts(spark, sf_dir), scores, "red")
+
+
+@query("""with q as (select cast(embedding as double[]) as q from embeddings where vec_id = 0) select vec_id, cast(floor(list_cosine_similarity(cast(embedding as double[]), q) * 1e6 + 0.5) as bigint) as score_e6 from embeddings, q order by list_cosine_similarity(cast(embedding as double[]), q) desc, vec_id limit 5""")
+def knn_blocks(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    vec = rows.where("vec_id = 0").select("embedding").first()[0]
+    return L.nearest(rows, vec, 5).select("vec_id", F.floor(F.col("score") * 1e6 + 0.5).cast("long").alias("score_e6"))
+
+
+@query("""with q as (select cast(embedding as double[]) as q from embeddings where vec_id = 3) select vec_id, cast(floor(list_cosine_similarity(cast(embedding as double[]), q) * 1e6 + 0.5) as bigint) as score_e6 from embeddings, q where label = 3 order by list_cosine_similarity(cast(embedding as double[]), q) desc, vec_id limit 10""")
+def knn_concepts(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    vec = rows.where("vec_id = 3").select("embedding").first()[0]
+    return L.nearest(rows.where("label = 3"), vec, 10).select("vec_id", F.floor(F.col("score") * 1e6 + 0.5).cast("long").alias("score_e6"))
+
+
+@query(f"with {LIBRARY} select user_id, concept_id, count(distinct mention_id) as mentions, array_to_string(list_sort(list(distinct title)), ', ') as titles from mention join user_book using (book_id) group by 1, 2 having count(distinct mention_id) >= 2")
+def compare_titles(spark, sf_dir):
+    return L.compared_titles(mentions(spark, sf_dir), user_books(spark, sf_dir), 2)
+
+
+@query(f"""with {LIBRARY}, held as (select distinct user_id, book_id from user_book), o as (select user_id, count(*) as books, count(*) filter (is_protected) as protected from user_book group by 1)
+select user_id, books, protected, coalesce(nb, 0) as blocks, coalesce(nc, 0) as concepts, greatest(0, 50 - books) as remaining from o left join (select user_id, count(*) as nb from held join block using (book_id) group by 1) using (user_id)
+left join (select user_id, count(distinct concept_id) as nc from held join mention using (book_id) group by 1) using (user_id)""")
+def user_stats(spark, sf_dir):
+    rows = L.user_stats(user_books(spark, sf_dir), blocks(spark, sf_dir), mentions(spark, sf_dir))
+    return rows.withColumn("blocks", F.col("blocks").cast("long"))
+
+
+@query(f"with {LIBRARY}, r as (select user_id, id, title, cast(row_number() over (partition by user_id order by uploaded_at desc, id desc) as integer) as rank from user_book) select * from r where rank <= 3")
+def bot_topk(spark, sf_dir):
+    return L.top_per_user(user_books(spark, sf_dir).select("user_id", "id", "title", "uploaded_at"), [F.desc("uploaded_at"), F.desc("id")], 3).drop("uploaded_at")
+
+
+@query(f"with {LIBRARY} select id from user_book where not is_protected and status = 'F'")
+def deletable_books(spark, sf_dir):
+    return L.deletable(user_books(spark, sf_dir)).where("status = 'F'").select("id")
+
+
+@query(f"with {LIBRARY} select id from user_book where user_id = 9 and contains(upper(title), 'BOOK 1')")
+def access_isolation(spark, sf_dir):
+    return user_books(spark, sf_dir).where((F.col("user_id") == 9) & T.contains_fold(F.col("title"), "book 1")).select("id")
+
+
+@query(f"""with {LIBRARY}, f as (select *, row_number() over (partition by user_id, book_id order by title, id) as k from user_book where book_id in (select book_id from mention where importance > 0.9))
+select user_id, book_id, id, cast(row_number() over (partition by user_id order by title, id) as integer) as ord from f where k = 1""")
+def map_books(spark, sf_dir):
+    return G.map_books(user_books(spark, sf_dir), mentions(spark, sf_dir).where("importance > 0.9")).select("user_id", "book_id", "id", "ord")
+
+
+def _themes(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("book_id"), F.col("vec_id").alias("theme_id"), F.format_string("Theme %d", "vec_id").alias("title"), F.col("embedding").alias("vec"), F.col("vec_id").alias("ord"))
+
+
+def _subtopics(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("event_id % 4 = 0")
+    return rows.select((F.col("event_id") % 500).alias("theme_id"), F.col("event_id").alias("subtopic_id"), F.col("event_type").alias("name"), ((F.col("event_id") % 130) / 100).alias("score"))
+
+
+_MAP = "theme as (select label as book_id, vec_id as theme_id, 'Theme ' || cast(vec_id as varchar) as title from embeddings), subtopic as (select event_id % 500 as theme_id, event_id as subtopic_id, event_type as name, (event_id % 130) / 100 as score from events where event_id % 4 = 0)"
+
+
+@query(f"""with {_MAP}, b as (select distinct book_id from theme) select 'book-' || cast(book_id as varchar) as id, 'book' as kind, 'Book ' || cast(book_id as varchar) as label, 2800 as size_e2 from b union all
+select 'theme-' || cast(theme_id as varchar), 'theme', title, 1800 from theme union all select 'subtopic-' || cast(subtopic_id as varchar), 'subtopic', name, 1000 + 7 * least(100, subtopic_id % 130) from subtopic""")
+def map_nodes(spark, sf_dir):
+    themes = _themes(spark, sf_dir)
+    books = themes.select("book_id", F.format_string("Book %d", "book_id").alias("title")).distinct()
+    return G.nodes(books, themes, _subtopics(spark, sf_dir)).select("id", "kind", "label", F.floor(F.col("size") * 100 + 0.5).cast("long").alias("size_e2"))
+
+
+@query(f"""with {_MAP} select 'book-' || cast(book_id as varchar) as source, 'theme-' || cast(theme_id as varchar) as target, 100 as weight_e2 from theme union all select 'theme-' || cast(theme_id as varchar), 'subtopic-' || cast(subtopic_id as varchar), subtopic_id % 130 from subtopic""")
+def map_contains_edges(spark, sf_dir):
+    return G.contains_edges(_themes(spark, sf_dir), _subtopics(spark, sf_dir)).select("source", "target", F.floor(F.col("weight") * 100 + 0.5).cast("long").alias("weight_e2"))
+
+
+_RELATED = """first as (select vec_id as ord, label as book_id, vec_id as theme_id, cast(embedding as double[]) as v from embeddings order by vec_id limit 220),
+edge as (select a.ord as oa, b.ord as ob, a.book_id as ba, b.book_id as bb, a.theme_id as source, b.theme_id as target, list_cosine_similarity(a.v, b.v) as w from first a join first b on a.ord < b.ord and a.book_id <> b.book_id)"""
+
+
+@query(f"with {_RELATED} select source, target, cast(floor(w * 1e6 + 0.5) as bigint) as weight_e6 from edge where w >= 0.25 order by w desc, oa, ob limit 180")
+def map_related_edges(spark, sf_dir):
+    return G.related_edges(_themes(spark, sf_dir), 0.25).select("source", "target", F.floor(F.col("weight") * 1e6 + 0.5).cast("long").alias("weight_e6"))
+
+
+@query(f"""with {_MAP}, b as (select book_id, row_number() over (order by book_id) as i, count(*) over () as n from (select distinct book_id from theme)),
+p as (select book_id, case when n = 1 then 1300.0 else 1300.0 + cos(-pi() / 2 + 2 * pi() * (i - 1) / n) * 510 end as bx, case when n = 1 then 750.0 else 750.0 + sin(-pi() / 2 + 2 * pi() * (i - 1) / n) * 510 end as hy from b),
+t as (select book_id, theme_id, row_number() over (partition by book_id order by theme_id) - 1 as i, count(*) over (partition by book_id) as n from theme)
+select theme_id, cast(floor((case when n = 1 then bx else bx + cos(-pi() / 2 + 2 * pi() * i / n) * greatest(120, least(220, 80 + 14 * n)) end) * 100 + 0.5) as bigint) as x_e2, cast(floor((case when n = 1 then hy else hy + sin(-pi() / 2 + 2 * pi() * i / n) * greatest(120, least(220, 80 + 14 * n)) end) * 100 + 0.5) as bigint) as y_e2 from t join p using (book_id)""")
+def map_layout(spark, sf_dir):
+    themes = _themes(spark, sf_dir)
+    books = themes.select("book_id").distinct()
+    # A map's books are one user's, so few; they are ordered in one task.
+    books = books.select("book_id", F.row_number().over(Window.orderBy("book_id")).alias("ord"), F.count("*").over(Window.partitionBy()).alias("total"))
+    return G.layout(books, themes).select("theme_id", F.floor(F.col("x") * 100 + 0.5).cast("long").alias("x_e2"), F.floor(F.col("y") * 100 + 0.5).cast("long").alias("y_e2"))
+
+
+@query(f"with {_MAP} select book_id, count(*) as themes, cast(sum(coalesce(k, 0)) as bigint) as subtopics from theme left join (select theme_id, count(*) as k from subtopic group by 1) using (theme_id) group by 1")
+def map_meta(spark, sf_dir):
+    return G.meta(_themes(spark, sf_dir), _subtopics(spark, sf_dir))
+
+
+@query(f"with {_RELATED} select least(ba, bb) as a, greatest(ba, bb) as b, cast(floor(avg(w) * 1e5 + 0.5) as bigint) as weight_e5, count(*) as n from edge where w >= 0.25 group by 1, 2")
+def book_relations(spark, sf_dir):
+    own = _themes(spark, sf_dir).select("theme_id", "book_id")
+    edges = G.related_edges(_themes(spark, sf_dir), 0.25, most=1_000_000)
+    rows = edges.join(own.select(F.col("theme_id").alias("source"), F.col("book_id").alias("a")), "source").join(own.select(F.col("theme_id").alias("target"), F.col("book_id").alias("b")), "target")
+    return G.book_relations(rows).select("a", "b", F.floor(F.col("weight") * 1e5 + 0.5).cast("long").alias("weight_e5"), "n")
+
+
+@query(f"with {_MAP} select theme_id from theme where contains(lower(title || ' ' || cast(book_id as varchar)), 'theme 1')")
+def map_filter(spark, sf_dir):
+    return G.matching(_themes(spark, sf_dir), "THEME 1", "title", "book_id").select("theme_id")
+
+
+@query(f"with {LIBRARY}, m as (select mention_id, mention.book_id, b.title, importance, coalesce(custom, explanation) as explanation from mention join block b on b.book_id = mention.book_id and b.order_number = block_no left join edit using (mention_id)) select b.book_id, b.order_number, b.title, mention_id, importance, explanation from block b left join m on m.book_id = b.book_id and m.title = b.title")
+def export_concepts(spark, sf_dir):
+    own = blocks(spark, sf_dir)
+    titled = mentions(spark, sf_dir).join(own.select("book_id", F.col("order_number").alias("block_no"), "title"), ["book_id", "block_no"]).drop("block_no", "concept_id")
+    return X.concept_rows(own, titled, L.edit_state(edits(spark, sf_dir)).select("mention_id", "custom")).select("book_id", "order_number", "title", "mention_id", "importance", "explanation")
+
+
+@query(f"with {LIBRARY}, n as (select book_id, block_no as order_number, string_agg(cast(concept_id as varchar), ', ' order by mention_id, cast(concept_id as varchar)) as names from mention group by 1, 2) select book_id, string_agg(cast(order_number as varchar) || '. ' || title || ': ' || names, chr(10) order by order_number) as text from block join n using (book_id, order_number) group by 1")
+def export_blocks(spark, sf_dir):
+    listed = F.array_sort(F.collect_list(F.struct("mention_id", F.col("concept_id").cast("string").alias("c"))))
+    names = mentions(spark, sf_dir).groupBy("book_id", F.col("block_no").alias("order_number")).agg(F.array_join(F.transform(listed, lambda x: x["c"]), ", ").alias("names"))
+    return X.report(blocks(spark, sf_dir).join(names, ["book_id", "order_number"], "left"))
+
+
+@query()
+def export_json_rows(spark, sf_dir):
+    own = blocks(spark, sf_dir)
+    titled = mentions(spark, sf_dir).join(own.select("book_id", F.col("order_number").alias("block_no"), "title"), ["book_id", "block_no"]).join(concepts(spark, sf_dir), "concept_id")
+    return X.nested(own, titled)
+
+
+@query(f"with {LIBRARY} select b.book_id, cast(nb as varchar) as blocks, cast(nm as varchar) as mentions, 'plain' as source from (select book_id, count(*) as nb from block group by 1) b join (select book_id, count(*) as nm from mention group by 1) m using (book_id)")
+def analysis_metadata(spark, sf_dir):
+    own, found = blocks(spark, sf_dir), mentions(spark, sf_dir)
+    base = own.select("book_id").distinct().withColumn("metadata", F.create_map(F.lit("source"), F.lit("plain"), F.lit("blocks_count"), F.lit("0")))
+    rows = X.metadata(base, blocks=own, mentions=found)
+    return rows.select("book_id", F.col("metadata")["blocks_count"].alias("blocks"), F.col("metadata")["mentions_count"].alias("mentions"), F.col("metadata")["source"].alias("source"))
+
+
+@query("""select vec_id as k, case when vec_id % 2 = 0 then label + 100 else label end as v from embeddings where vec_id % 10 <> 0""")
+def keyed_upsert(spark, sf_dir):
+    old = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), F.col("label").alias("v"))
+    new = old.where("k % 2 = 0").select("k", (F.col("v") + 100).alias("v"))
+    return X.without(X.upserted(old, new, ["k"]), old.where("k % 10 = 0"), ["k"])
+
+
+@query()
+def html_parse(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"))
+    return B.html_books(pages).select("path", "title", F.size(F.col("chapters")[0]["paragraphs"]).alias("paragraphs"))
+
+
+@query()
+def fb2_parse(spark, sf_dir):
+    """Documents wrapped as FictionBook files, parsed again."""
+    esc = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    clean = F.regexp_replace(esc, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", " ")
+    body = F.array_join(F.transform(F.split(clean, "\n"), lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "")
+    xml = F.concat(F.lit('<?xml version="1.0" encoding="utf-8"?><FictionBook><description><title-info><book-title>'), F.col("source"), F.lit("</book-title></title-info></description><body><section>"), body, F.lit("</section></body></FictionBook>"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(xml, "utf-8").alias("content"))
+    return B.fb2_books(files).select("path", "title", F.size(F.col("chapters")[0]["paragraphs"]).alias("paragraphs"), "_error")
+
+
+_BLANK = "string_split(regexp_replace(regexp_replace(text, '\\. ', '.' || chr(10) || chr(10), 'g'), '\\n{2,}', chr(1), 'g'), chr(1))"
+
+
+@query(rf"""select doc_id, cast(len(p) as bigint) as n, array_to_string(p, '|') as paragraphs from (select doc_id, list_filter(list_transform({_BLANK}, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')), lambda x: length(x) >= 20) as p from documents) where len(p) > 0""")
+def pdf_page_paragraphs(spark, sf_dir):
+    pages = table(spark, sf_dir, "documents").select("doc_id", T.page_paragraphs(F.regexp_replace("text", r"\. ", ".\n\n")).alias("p"), F.regexp_replace("text", r"\. ", ".\n\n").alias("t"))
+    blank = F.exists(F.transform(F.split("t", r"\n{2,}"), T.normal_spaces), lambda p: F.length(p) >= 20)
+    return pages.where(blank).select("doc_id", F.size("p").cast("long").alias("n"), F.array_join("p", "|").alias("paragraphs"))

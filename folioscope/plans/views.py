@@ -48,11 +48,11 @@ def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log of edits: returned items are edited, those with tax over 0.06 reset at a later time."""
+    """A log of edits: returned items are edited, those with a tax over 6 per cent reset at a later time."""
     rows = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R").select(
         F.lit(1).cast("long").alias("user_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("mention_id"), F.concat(F.lit("edited "), F.col("l_linestatus")).alias("text"), F.lit(1).alias("ts"), F.lit("edit").alias("op"), "l_tax"
     )
-    return rows.drop("l_tax").unionByName(rows.where("l_tax > 0.06").select("user_id", "mention_id", F.lit(None).cast("string").alias("text"), F.lit(2).alias("ts"), F.lit("reset").alias("op")))
+    return rows.drop("l_tax").unionByName(rows.where("l_tax * 100 > 6.5").select("user_id", "mention_id", F.lit(None).cast("string").alias("text"), F.lit(2).alias("ts"), F.lit("reset").alias("op")))
 
 
 WORD = "[A-Za-zА-Яа-яЁё0-9-]+"
@@ -87,4 +87,4 @@ user_book as (select o_orderkey as id, o_custkey as user_id, o_orderkey // 2 as
 mention as (select l_orderkey * 8 + l_linenumber as mention_id, l_partkey as concept_id, l_orderkey // 2 as book_id, l_linenumber as block_no, l_quantity / 50 as importance, l_returnflag || l_linestatus as explanation from lineitem),
 block as (select distinct book_id, block_no as order_number, 'Block ' || cast(block_no % 3 as varchar) as title from mention),
 concept as (select p_partkey as concept_id, p_name as name, lower(p_name) as normalized_name from part),
-edit as (select l_orderkey * 8 + l_linenumber as mention_id, 'edited ' || l_linestatus as custom from lineitem where l_returnflag = 'R' and not l_tax > 0.06)"""
+edit as (select l_orderkey * 8 + l_linenumber as mention_id, 'edited ' || l_linestatus as custom from lineitem where l_returnflag = 'R' and not l_tax * 100 > 6.5)"""
