@@ -87,4 +87,4 @@ user_book as (select o_orderkey as id, o_custkey as user_id, o_orderkey // 2 as
 mention as (select l_orderkey * 8 + l_linenumber as mention_id, l_partkey as concept_id, l_orderkey // 2 as book_id, l_linenumber as block_no, l_quantity / 50 as importance, l_returnflag || l_linestatus as explanation from lineitem),
 block as (select distinct book_id, block_no as order_number, 'Block ' || cast(block_no % 3 as varchar) as title from mention),
 concept as (select p_partkey as concept_id, p_name as name, lower(p_name) as normalized_name from part),
-edit as (select l_orderkey * 8 + l_linenumber as mention_id, 'edited ' || l_linestatus as custom from lineitem where l_returnflag = 'R' and not l_tax * 100 > 6.5)"""
+edit as (select l_orderkey * 8 + l_linenumber as mention_id, max('edited ' || l_linestatus) as custom from lineitem where l_returnflag = 'R' group by 1 having not bool_or(l_tax * 100 > 6.5))"""
