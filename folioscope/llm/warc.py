@@ -79,33 +79,42 @@ def inflate(data: bytes) -> Iterator[bytes]:
         at -= len(member.unused_data)
 
 
-def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, payload, digest, size, kind, refers of every page."""
+def payloads(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, digest, size of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
-    owners = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(owners, "digest", "left")
-    revisit = F.col("owner").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("owner"))) & (F.col("size") >= least)
-    return rows.select("page_id", "url", "payload", "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("owner")).alias("refers"))
+    return rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
 
 
-def _write(table: pa.Table) -> pa.Table:
-    pack, out = zlib.compressobj(1, zlib.DEFLATED, 31), []
-    table = table.sort_by([("page_id", "ascending"), ("digest", "ascending")])
-    for batch in table.to_batches(max_chunksize=256):
+def revisits(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """The rows (page_id, digest, size and others) that revisit the row of refers; payloads aren't needed for this."""
+    owners = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("refers"), F.count("*").alias("n")).where("n > 1 and refers is not null").drop("n")
+    return rows.where(F.col("size") >= least).join(owners, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers")))
+
+
+def _write(rows: pa.Table, again: pa.Table) -> pa.Table:
+    pack, out = zlib.compressobj(6, zlib.DEFLATED, 31), []
+    refers = {(r["page_id"], r["digest"]): r["refers"] for r in again.to_pylist()}
+    rows = rows.sort_by([("page_id", "ascending"), ("digest", "ascending")])
+    for batch in rows.to_batches(max_chunksize=256):
         for r in batch.to_pylist():
-            payload = b"" if r["kind"] == "revisit" else r["payload"]
-            out.append(pack.compress(_record(r["kind"], r["page_id"], r["url"], r["digest"], r["size"], r["refers"], payload)))
+            owner = refers.get((r["page_id"], r["digest"]))
+            kind, payload = ("response", r["payload"]) if owner is None else ("revisit", b"")
+            out.append(pack.compress(_record(kind, r["page_id"], r["url"], r["digest"], r["size"], owner, payload)))
     out.append(pack.flush())
-    return pa.table({"archive": table.column("archive").slice(0, 1), "data": pa.array([b"".join(out)], pa.binary())})
+    return pa.table({"archive": rows.column("archive").slice(0, 1), "data": pa.array([b"".join(out)], pa.binary())})
 
 
 def write_archives(pages: DataFrame, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(archive, data): whole-file gzip archives of about archive_bytes before compression, one record for each page."""
+    """(archive, data): whole-file gzip archives of about archive_bytes before compression, one record for each page.
+
+    Payloads are shuffled once, to their archives; which records are revisits comes there by a table of its own.
+    """
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     archives = max(1, -(-total // archive_bytes))
-    rows = with_revisits(pages, least).withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(archives)).cast("long"))
-    return rows.groupBy("archive").applyInArrow(_write, "archive long, data binary")
+    rows = payloads(pages).withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)).cast("long"))
+    again = revisits(rows.select("archive", "page_id", "digest", "size"), least).select("archive", "page_id", "digest", "refers").distinct()
+    again = again.toDF(*again.columns)  # columns of its own, as both sides come from pages
+    return rows.groupBy("archive").cogroup(again.groupBy("archive")).applyInArrow(_write, "archive long, data binary")
 
 
 def _normalise(batches):
