@@ -207,6 +207,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFram
 #: Multipliers that turn one shingle hash into WORDS independent ones.
 WORDS, _SPREAD = 4, np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 RATIO = 1.25
+#: Rows of a size that one task compares. Large blocks: each row is sent once for every block of the other side.
+WIDE_STORED, WIDE_ASKED = 16384, 65536
 
 
 def wide_fingerprint(text: str | None, size: int = 5) -> tuple[bytes, int]:
@@ -266,7 +268,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), ring.alias("ring")), F.struct(F.lit(1).alias("kind"), ring.alias("ring")), F.struct(F.lit(1).alias("kind"), (ring - 1).alias("ring"))))
     routed = distinct.select("first", "fp", "n", kinds.alias("k")).select("first", "fp", "n", "k.*")
     sizes = routed.groupBy("ring").agg(F.count_if(F.col("kind") == 0).alias("s"), F.count_if(F.col("kind") == 1).alias("q")).where("s > 0 and q > 0")
-    sizes = sizes.select("ring", F.ceil(F.col("s") / STORED).alias("sb"), F.ceil(F.col("q") / ASKED).alias("qb"))
+    sizes = sizes.select("ring", F.ceil(F.col("s") / WIDE_STORED).alias("sb"), F.ceil(F.col("q") / WIDE_ASKED).alias("qb"))
     own = F.pmod(F.xxhash64("first"), F.when(F.col("kind") == 0, F.col("sb")).otherwise(F.col("qb")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("kind") == 0, F.col("qb")).otherwise(F.col("sb")) - 1))
     dealt = routed.join(sizes, "ring").select("ring", "kind", "first", "fp", "n", own.alias("own"), other.alias("other"))
