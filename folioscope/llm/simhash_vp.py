@@ -8,7 +8,7 @@ Within a leaf a vantage-point tree of the whole fingerprints prunes the rest, an
 compared exactly. Leaves with many rows are dealt out in blocks. Linked pairs become union-find labels in each
 task, so a dense group leaves a star of links, not all its pairs.
 
-With a least similarity, candidates are held against the Jaccard similarity of their shingle sets.
+near_copies() takes a least similarity instead of a radius: the share of bits on which wide fingerprints agree.
 
 Defined results: a null text has no words; texts without words have fingerprint zero and link like any
 other; fewer words than a shingle make one shingle; rows with equal doc_id count as one document; a null doc_id
