@@ -2,8 +2,8 @@
 
 A text is lower-cased, everything but letters becomes a space, and its byte n-grams are hashed to rows of an
 embedding table; their mean goes through a linear layer to a softmax. Both are trained together by stochastic
-gradient descent in numpy on a bounded sample: at most `per_lang` labelled documents of each language, each by
-at most `per_doc` n-grams drawn from its whole text. A part of the sample that training never sees sets the
+gradient descent in numpy on a bounded sample: at most `per_lang` labelled documents of each language and about
+`most` of all, drawn by hash from the whole table, each by at most `per_doc` n-grams drawn from its whole text. A part of the sample that training never sees sets the
 temperature, and the least score that a document must reach: `reject` is the share of rightly predicted
 documents that may fall below it.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_LANG, PER_DOC = 600, 2048
+PER_LANG, PER_DOC, MOST = 600, 2048, 20_000
 ORDERS, BITS, DIM = (2, 3, 4), 16, 16
 MOST_LANGS = 1000
 _LETTER = re.compile(r"[^\W\d_]")
@@ -151,7 +151,7 @@ def fit(bags: list[np.ndarray], targets: np.ndarray, langs: list[str], reject: f
     return model
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC, reject: float = 0.001) -> Model | None:
+def train(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC, reject: float = 0.001, most: int = MOST) -> Model | None:
     """Fit on documents outside the held-out fold with a language; None if there are none."""
     labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = labelled.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
@@ -159,9 +159,10 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC, rej
         raise ValueError(f"more than {MOST_LANGS} languages")
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * per_lang / r["count"] + 1e-4))])
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    bound = 2 * per_lang * len(counts)
+    per_lang = max(10, min(per_lang, most // len(counts)))
+    # Half as many again, so that per_lang are left; a rare language comes whole.
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * per_lang / r["count"]))])
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 53)) / float(1 << 53)
 
     def bag(batches):
         for batch in batches:
@@ -175,15 +176,21 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC, rej
                     rng = np.random.default_rng(total)
                     kept.append(i)
                     out.append((every if total <= per_doc else every[rng.choice(total, per_doc, replace=False)]).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(kept, pa.int64())), pa.array(out, pa.binary())], ["lang", "bag"])
+            at = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("lang").take(at), batch.column("draw").take(at), pa.array(out, pa.binary())], ["lang", "draw", "bag"])
 
-    sample = labelled.select("lang", "doc_id", "text", draw.alias("draw")).where(F.col("draw") < share[F.col("lang")])
-    rows = sample.select("lang", "text").mapInArrow(bag, "lang string, bag binary").limit(bound).collect()
+    sample = labelled.select("lang", draw.alias("draw"), "text").where(F.col("draw") < share[F.col("lang")])
+    # Equal rows have one draw and count once, so the sample stays near 1.5 * per_lang rows a language.
+    rows = sample.mapInArrow(bag, "lang string, draw double, bag binary").groupBy("lang", "draw").agg(F.min("bag").alias("bag")).collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r.lang, bytes(r.bag)))
-    langs = sorted({r.lang for r in rows})
-    return fit([np.frombuffer(r.bag, np.uint32) for r in rows], np.array([langs.index(r.lang) for r in rows]), langs, reject)
+    by_lang: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r.lang, r.draw)):
+        own = by_lang.setdefault(r.lang, [])
+        if len(own) < per_lang:
+            own.append(np.frombuffer(r.bag, np.uint32))
+    langs = list(by_lang)
+    return fit([b for own in by_lang.values() for b in own], np.repeat(np.arange(len(langs)), [len(own) for own in by_lang.values()]), langs, reject)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
