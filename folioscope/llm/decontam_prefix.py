@@ -5,8 +5,9 @@ in a document has all its shingles there, so joining one of them, its prefix, is
 over all documents. Each hit on a prefix shingle fixes where the window would start; bounds on that place and
 on the document's length come first, then every word of the window is compared.
 
-The words of the benchmark go to the executors as a dictionary while they take at most `item_bytes`; a larger
-benchmark is worked off in parts of that size, each over all documents, and the spans are merged.
+The windows go to the executors as arrays of word numbers (some 10 bytes of memory for each byte of the
+benchmark, 70 on the driver while they are built) while its texts take at most `item_bytes`; a larger benchmark is worked off in parts of that size, each
+over all documents, and the spans are merged.
 
 Defined results: a null or empty text has no words; an item without words has no windows; an item without an
 item_id marks words but is not listed; equal items all count; rows with equal doc_id stay rows of their own;
@@ -15,7 +16,6 @@ an empty benchmark leaves all documents clean.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import cut
 
 SHINGLE = 5
-ITEM_BYTES = 32_000_000
+ITEM_BYTES = 8_000_000
+#: Pairs of a hit and a window that are compared at once.
+_PAIRS = 1 << 18
 #: Bytes of word characters, A-Z in lower case; all others become spaces.
 _WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -36,31 +38,56 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Items:
-    """Windows of a part of the benchmark, as numbers of its words."""
+    """Different windows of a part of the benchmark, as places in one array of word numbers."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int, shingle: int):
-        self.window, self.vocabulary = window, {}
-        self.shingles: dict[tuple[int, ...], int] = {}
-        self.windows: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        self.window, self.vocabulary, self.names = window, {}, []
+        none = np.zeros(0, np.int32)
+        flat, begin, size, owner, at = [none], [none], [none], [none], 0
         for name, text in items:
             w = [self.vocabulary.setdefault(x, len(self.vocabulary)) for x in words(text)]
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                self.windows[tuple(w[i : i + window])].update(() if name is None else (name,))
-        self.size = {w: min(shingle, len(w)) for w in self.windows}
-        for w, k in self.size.items():
-            for i in range(len(w) - k + 1):
-                self.shingles.setdefault(w[i : i + k], len(self.shingles))
-        rng = np.random.default_rng(11)
-        self.mix = rng.integers(1, 1 << 62, (shingle, len(self.vocabulary) + 1), dtype=np.int64)
-        self.keys = {}
-        for k in sorted(set(self.size.values())):
-            known = [(self._key(s), n) for s, n in self.shingles.items() if len(s) == k]
-            known.sort()
-            self.keys[k] = (np.array([x[0] for x in known], np.int64), np.array([x[1] for x in known], np.int64))
-
-    def _key(self, s: tuple[int, ...]) -> int:
-        with np.errstate(over="ignore"):
-            return int(np.add.reduce([self.mix[i, x] for i, x in enumerate(s)]))
+            if w:
+                n = min(window, len(w))
+                many = len(w) - n + 1
+                flat.append(np.array(w, np.int32))
+                begin.append(np.arange(at, at + many, dtype=np.int32))
+                size.append(np.full(many, n, np.int32))
+                owner.append(np.full(many, len(self.names), np.int32))
+                self.names.append(name)
+                at += len(w)
+        flat.append(np.zeros(window, np.int32))
+        self.flat, begin, size, owner = (np.concatenate(x) for x in (flat, begin, size, owner))
+        place = np.arange(window, dtype=np.int32)
+        table = np.where(place < size[:, None], self.flat[begin[:, None] + place], -1)
+        order = np.lexsort(table.T) if len(table) else none
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (table[order[1:]] != table[order[:-1]]).any(axis=1)
+        first = order[fresh]
+        self.begin, self.size = begin[first], size[first]
+        #: Items of window u: owner[owner_at[u] : owner_at[u + 1]].
+        self.owner, self.owner_at = owner[order], np.append(np.flatnonzero(fresh), len(order)).astype(np.int32)
+        self.mix = np.random.default_rng(11).integers(1, 1 << 62, (shingle, len(self.vocabulary) + 1), dtype=np.int64)
+        #: For each length of shingle: the number of its first key, and its sorted keys.
+        self.keys: dict[int, tuple[int, np.ndarray]] = {}
+        self.count = 0
+        for k, rows in self._lengths(shingle):
+            keys, valid = self._keys(rows, k)
+            known = np.unique(keys[valid])
+            self.keys[k] = (self.count, known)
+            self.count += len(known)
+
+    def _lengths(self, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+        k_of = np.minimum(self.size, shingle)
+        return ((int(k), np.flatnonzero(k_of == k)) for k in np.unique(k_of))
+
+    def _keys(self, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all shingles of some windows, and which of them lie within their window."""
+        m = self.window - k + 1
+        at = self.begin[rows, None] + np.arange(m, dtype=np.int32)
+        keys = np.zeros(at.shape, np.int64)
+        for i in range(k):
+            keys += self.mix[i, self.flat[np.minimum(at + i, len(self.flat) - 1)]]
+        return keys, np.arange(m) <= self.size[rows, None] - k
 
     def number(self, text: list[bytes]) -> np.ndarray:
         get = self.vocabulary.get
@@ -79,36 +106,58 @@ class Items:
         key = self.mix[0, ids[at]].copy()
         for i in range(1, k):
             key += self.mix[i, ids[at + i]]
-        keys, numbers = self.keys[k]
+        base, keys = self.keys[k]
         place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         same = keys[place] == key
-        return at[same], numbers[place[same]]
+        return at[same], base + place[same]
 
-    def order(self, counts: dict[int, int]) -> None:
+    def order(self, counts: np.ndarray) -> None:
         """Take as each window's prefix its rarest shingle; of equally rare ones the first."""
-        self.by_prefix: dict[int, dict[int, list[tuple[np.ndarray, int, set[str]]]]] = defaultdict(lambda: defaultdict(list))
-        for w, names in self.windows.items():
-            k = self.size[w]
-            places = range(len(w) - k + 1)
-            best = min(places, key=lambda i: (counts.get(self.shingles[w[i : i + k]], 0), i))
-            self.by_prefix[k][self.shingles[w[best : best + k]]].append((np.array(w), best, names))
-
-    def spans(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        ids, found, names = self.number(text), [], set()
-        for k, prefixes in self.by_prefix.items():
-            for at, number in zip(*(x.tolist() for x in self.hits(ids, k)), strict=True):
-                for w, offset, who in prefixes.get(number, ()):
-                    begin = at - offset
-                    if begin >= 0 and begin + len(w) <= len(ids) and np.array_equal(ids[begin : begin + len(w)], w):
-                        found.append((begin, begin + len(w)))
-                        names |= who
-        return found, names
+        prefix, self.offset = np.zeros(len(self.begin), np.int64), np.zeros(len(self.begin), np.int32)
+        for k, rows in self._lengths(len(self.mix)):
+            keys, valid = self._keys(rows, k)
+            base, known = self.keys[k]
+            number = base + np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            best = np.where(valid, counts[number], np.iinfo(np.int64).max).argmin(axis=1)
+            self.offset[rows], prefix[rows] = best, number[np.arange(len(rows)), best]
+        #: Windows of prefix p: by_prefix[starts[p] : starts[p + 1]].
+        self.by_prefix = np.argsort(prefix, kind="stable").astype(np.int32)
+        self.starts = np.searchsorted(prefix[self.by_prefix], np.arange(self.count + 1)).astype(np.int32)
+
+    def spans(self, text: list[bytes]) -> tuple[np.ndarray, list[str]]:
+        """Disjoint ranges [lo, hi) of the words that windows cover, and the names of those windows' items."""
+        ids = self.number(text)
+        ranges, windows = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int32)]
+        for k in self.keys:
+            at, number = self.hits(ids, k)
+            many = (self.starts[number + 1] - self.starts[number]).astype(np.int64)
+            at, number, many = at[many > 0], number[many > 0], many[many > 0]
+            ends = np.cumsum(many)
+            for lo in range(0, int(ends[-1]) if len(ends) else 0, _PAIRS):
+                pair = np.arange(lo, min(lo + _PAIRS, int(ends[-1])))
+                hit = np.searchsorted(ends, pair, side="right")
+                u = self.by_prefix[self.starts[number[hit]] + pair - (ends - many)[hit]]
+                begin = at[hit] - self.offset[u]
+                ok = (begin >= 0) & (begin + self.size[u] <= len(ids))
+                u, begin = u[ok], begin[ok]
+                for i in range(self.window):
+                    ok = i >= self.size[u]
+                    ok[~ok] = ids[begin[~ok] + i] == self.flat[self.begin[u[~ok]] + i]
+                    u, begin = u[ok], begin[ok]
+                ranges.append(np.unique(np.stack([begin, begin + self.size[u]], axis=1), axis=0))
+                windows.append(np.unique(u))
+        every = np.unique(np.concatenate(ranges), axis=0)
+        top = np.maximum.accumulate(every[:, 1]) if len(every) else every[:, 1]
+        fresh = np.flatnonzero(np.append(True, every[1:, 0] > top[:-1])) if len(every) else np.zeros(0, np.int64)
+        merged = np.stack([every[fresh, 0], top[np.append(fresh[1:], len(every)) - 1]], axis=1) if len(every) else every
+        names = {self.names[i] for u in np.unique(np.concatenate(windows)) for i in self.owner[self.owner_at[u] : self.owner_at[u + 1]]}
+        return merged, sorted(names - {None})
 
 
 def _counts(shared):
     def run(batches):
         part = shared.value
-        total = np.zeros(len(part.shingles), np.int64)
+        total = np.zeros(part.count, np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 ids = part.number(words(text))
@@ -130,15 +179,9 @@ def _spans(shared):
             for text in batch.column("text").to_pylist():
                 w = words(text)
                 found, names = shared.value.spans(w)
-                merged: list[list[int]] = []
-                for lo, hi in sorted(set(found)):
-                    if merged and lo <= merged[-1][1]:
-                        merged[-1][1] = max(hi, merged[-1][1])
-                    else:
-                        merged.append([lo, hi])
                 n.append(len(w))
-                spans.append([{"lo": lo, "hi": hi} for lo, hi in merged])
-                items.append(sorted(names))
+                spans.append([{"lo": lo, "hi": hi} for lo, hi in found.tolist()])
+                items.append(names)
             kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("dk"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], ["dk", "doc_id", "n_words", "spans", "items"])
 
@@ -154,9 +197,11 @@ def _parts(texts: DataFrame, benchmark: DataFrame, window: int, shingle: int, it
         # At most about item_bytes: the benchmark's own share of this part, not the corpus.
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).distinct().collect()
         part = Items([(r.item_id, r.text) for r in sorted(own, key=lambda r: (r.item_id or "", r.text))], window, shingle)
-        counts = texts.mapInArrow(_counts(sc.broadcast(part)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        part.order({r.shingle: r.n for r in counts.collect()})
-        part.by_prefix = {k: dict(v) for k, v in part.by_prefix.items()}
+        found = texts.mapInArrow(_counts(sc.broadcast(part)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+        counts = np.zeros(part.count, np.int64)
+        for r in found.toLocalIterator():
+            counts[r.shingle] = r.n
+        part.order(counts)
         yield part
 
 
@@ -201,7 +246,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int
     def keep(shared):
         def run(batches):
             for batch in batches:
-                yield batch.filter(pa.array([not shared.value.spans(words(t))[0] for t in batch.column("text").to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not len(shared.value.spans(words(t))[0]) for t in batch.column("text").to_pylist()], pa.bool_()))
 
         return run
 
