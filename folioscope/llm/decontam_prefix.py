@@ -5,9 +5,9 @@ in a document has all its shingles there, so joining one of them, its prefix, is
 over all documents. Each hit on a prefix shingle fixes where the window would start; bounds on that place and
 on the document's length come first, then every word of the window is compared.
 
-The windows go to the executors as arrays of word numbers (some 10 bytes of memory for each byte of the
-benchmark, 70 on the driver while they are built) while its texts take at most `item_bytes`; a larger benchmark is worked off in parts of that size, each
-over all documents, and the spans are merged.
+The windows go to the executors as arrays of word numbers while the benchmark's texts take at most `item_bytes`
+(some 10 bytes of memory for each byte of text, 70 on the driver while they are built); a larger benchmark is
+worked off in parts of that size, each over all documents, and the spans are merged.
 
 Defined results: a null or empty text has no words; an item without words has no windows; an item without an
 item_id marks words but is not listed; equal items all count; rows with equal doc_id stay rows of their own;
