@@ -8,7 +8,8 @@ Within a leaf a vantage-point tree of the whole fingerprints prunes the rest, an
 compared exactly. Leaves with many rows are dealt out in blocks. Linked pairs become union-find labels in each
 task, so a dense group leaves a star of links, not all its pairs.
 
-near_copies() takes a least similarity instead of a radius: the share of bits on which wide fingerprints agree.
+near_copies() takes a least Jaccard similarity of the sets of shingles instead of a radius. Wide fingerprints give
+candidates, whose sets are then compared exactly.
 
 Defined results: a null text has no words; texts without words have fingerprint zero and link like any
 other; fewer words than a shingle make one shingle; rows with equal doc_id count as one document; a null doc_id
@@ -25,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import components, cut
@@ -206,14 +207,27 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFram
 
 #: Multipliers that turn one shingle hash into WORDS independent ones.
 WORDS, _SPREAD = 4, np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
-RATIO = 1.25
 #: Rows of a size that one task compares. Large blocks: each row is sent once for every block of the other side.
 WIDE_STORED, WIDE_ASKED = 16384, 65536
+#: Hashes of a block of sets that one task verifies; each row counts for ROW_HASHES more. Pivots of a group of many blocks.
+SET_HASHES, ROW_HASHES, PIVOTS = 2_000_000, 128, 16
 
 
-def wide_fingerprint(text: str | None, size: int = 5) -> tuple[bytes, int]:
-    """A fingerprint of 64 * WORDS bits and the number of different shingles."""
-    h = np.fromiter(map(_hash, shingles(text, size)), np.uint64)
+def wide_radius(similarity: float) -> int:
+    """Differing bits that let all but one in 10^6 pairs of this Jaccard similarity through, by the angle between their sets."""
+    bits = 64 * WORDS
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return min(bits, int(bits * share + 5 * np.sqrt(bits * share * (1 - share))))
+
+
+def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
+    """Sorted different hashes of the shingles."""
+    return np.unique(np.fromiter(map(_hash, shingles(text, size)), np.uint64))
+
+
+def wide_fingerprint(text: str | None, size: int = 5) -> tuple[bytes, bytes, int]:
+    """The 128-bit hash of the set of shingles, its fingerprint of 64 * WORDS bits and its size."""
+    h = shingle_set(text, size)
     ones = np.zeros(64 * WORDS, np.int64)
     for i in range(0, len(h), _STEP):
         x = h[i : i + _STEP, None] * _SPREAD[None, :]
@@ -221,10 +235,10 @@ def wide_fingerprint(text: str | None, size: int = 5) -> tuple[bytes, int]:
         x *= np.uint64(_SPREAD[1])
         x ^= x >> np.uint64(29)
         ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h), bitorder="little").tobytes(), len(np.unique(h))
+    return xxhash.xxh3_128_digest(h.tobytes()), np.packbits(2 * ones > len(h), bitorder="little").tobytes(), len(h)
 
 
-def _compare_wide(radius: int):
+def _compare_wide(radius: int, similarity: float):
     def run(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("first", kind="stable")
         node, kind, n = rows["first"].to_numpy(), rows["kind"].to_numpy(), rows["n"].to_numpy(np.float64)
@@ -235,7 +249,7 @@ def _compare_wide(radius: int):
 
         def found(i: np.ndarray, j: np.ndarray) -> None:
             i, j = s[i], q[j]
-            ok = (np.minimum(n[i], n[j]) * RATIO >= np.maximum(n[i], n[j])) & (np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= radius)
+            ok = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= radius)
             labels.join(place[i[ok]], place[j[ok]])
 
         for w in range(WORDS):  # of the words of a pair within radius, one at least is within its share
@@ -246,33 +260,125 @@ def _compare_wide(radius: int):
     return run
 
 
+def _deal(rows: DataFrame, keys: list[str], weight: Column, stored: int, asked: int) -> DataFrame:
+    """Rows of kind 0 (stored) and 1 (asked), dealt so that each pair of their blocks within `keys` meets in one (keys, x, y)."""
+    stores = F.col("kind") == 0
+    sizes = rows.groupBy(*keys).agg(F.sum(F.when(stores, weight)).alias("s"), F.sum(F.when(~stores, weight)).alias("q")).where("s > 0 and q > 0")
+    sizes = sizes.select(*keys, F.ceil(F.col("s") / stored).alias("sb"), F.ceil(F.col("q") / asked).alias("qb"))
+    own = F.pmod(F.xxhash64("first", "fp"), F.when(stores, F.col("sb")).otherwise(F.col("qb")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(stores, F.col("qb")).otherwise(F.col("sb")) - 1))
+    dealt = rows.join(sizes, keys).select(*rows.columns, own.alias("own"), other.alias("other"))
+    return dealt.select(*rows.columns, F.when(stores, F.col("own")).otherwise(F.col("other")).alias("x"), F.when(stores, F.col("other")).otherwise(F.col("own")).alias("y"))
+
+
+def _kinds(*kinds: tuple[int, Column]) -> Column:
+    """One row for each kind and group."""
+    return F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), group.alias("group")) for kind, group in kinds]))
+
+
+def _candidates(distinct: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of `first` between sets of like size whose fingerprints agree well enough for this similarity.
+
+    Sets are compared with those of their own size class and the next, in blocks: balls this wide overlap nearly
+    every leaf of a vantage-point partition, so only the tree inside a task prunes.
+    """
+    ring = F.floor(-F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(similarity)) + 1e-9).cast("long")
+    routed = distinct.select("first", "fp", "n", _kinds((0, ring), (1, ring), (1, ring - 1)))
+    dealt = _deal(routed, ["group"], F.lit(1), WIDE_STORED, WIDE_ASKED)
+    return dealt.groupBy("group", "x", "y").applyInPandas(_compare_wide(wide_radius(similarity), similarity), "a long, b long")
+
+
+def _verify(radius: int, similarity: float):
+    """Labels of the rows after exact comparison; pairs that share a label already are not compared again."""
+
+    def run(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("first", kind="stable")
+        names, place = np.unique(rows["first"].to_numpy(), return_inverse=True)
+        kind = rows["kind"].to_numpy()
+        fp = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(-1, WORDS)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["h"]]
+        n = np.array([len(x) for x in sets], np.int64)
+        begin = np.cumsum(n) - n
+        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        mine, labels = np.zeros(len(values), bool), Labels(len(names))
+        _, known, of = np.unique(rows["sub"].to_numpy(), return_index=True, return_inverse=True)
+        labels.join(place, place[known[of]])
+        asked = np.flatnonzero(kind != 0)
+        for i in np.flatnonzero(kind != 1):
+            c = asked[labels.at[place[asked]] != labels.at[place[i]]]
+            c = c[(np.minimum(n[c], n[i]) >= similarity * np.maximum(n[c], n[i])) & (n[c] > 0)]
+            c = c[np.bitwise_count(fp[c] ^ fp[i]).sum(axis=1, dtype=np.int64) <= radius]
+            if not len(c):
+                continue
+            own = ids[begin[i] : begin[i] + n[i]]
+            mine[own] = True
+            edge = np.cumsum(n[c]) - n[c]
+            both = np.add.reduceat(mine[ids[np.repeat(begin[c] - edge, n[c]) + np.arange(n[c].sum())]], edge, dtype=np.int64)
+            mine[own] = False
+            c = c[both >= similarity * (n[c] + n[i] - both) - 1e-9]
+            labels.join(place[c], np.full(len(c), place[i]))
+        moved = np.flatnonzero(labels.at != np.arange(len(names)))
+        return pd.DataFrame({"a": names[labels.at[moved]], "b": names[moved]})
+
+    return run
+
+
+def _verified(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that leave the same components as all pairs of one `root` whose sets h are alike.
+
+    A group of candidates within SET_HASHES is one task. A larger one is dealt out in blocks, each compared in
+    itself and with a few pivots of the group; then what is not in the group's largest component is compared
+    with the whole group, again in blocks. So only a few rows of a dense group are sent more than once.
+    """
+    verify = _verify(wide_radius(similarity), similarity)
+    weight = F.col("n") + ROW_HASHES
+    large = cut(sets.groupBy("root").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("rows")).where(F.col("w") > SET_HASHES))
+    blocks = F.coalesce(F.ceil(F.col("w") / SET_HASHES), F.lit(1))
+    drawn = F.pmod(F.xxhash64(F.lit("pivot"), "first", "fp"), F.lit(1 << 30)) * F.col("rows") < PIVOTS * (1 << 30)
+    everywhere = F.col("w").isNotNull() & (drawn | (F.col("first") == F.col("root")))
+    block = F.when(everywhere, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("first", "fp"), blocks)))
+    placed = sets.join(large, "root", "left").select("root", F.explode(block).alias("block"), "first", F.col("first").alias("sub"), F.lit(2).alias("kind"), "fp", "h")
+    within = cut(placed.groupBy("root", "block").applyInPandas(verify, "a long, b long"))
+    if large.isEmpty():
+        return within
+    subs = components(within).select(F.col("node").alias("first"), F.col("root").alias("sub"))
+    rows = sets.join(large.select("root"), "root", "left_semi").join(subs, "first", "left").withColumn("sub", F.coalesce("sub", "first"))
+    most = rows.groupBy("root", "sub").agg(F.count(F.lit(1)).alias("c")).groupBy("root").agg(F.max_by("sub", F.struct("c", "sub")).alias("most"))
+    rest = rows.join(most, "root").where("sub <> most").select(*rows.columns)
+    asked = rows.join(rest.select("root").distinct(), "root", "left_semi")
+    both = rest.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)))
+    dealt = _deal(cut(both), ["root"], weight, SET_HASHES, SET_HASHES)
+    return within.unionByName(dealt.groupBy("root", "x", "y").applyInPandas(verify, "a long, b long"))
+
+
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every document that is alike to one of smaller doc_id, directly or through others.
 
-    Alike: at least `similarity` of the bits of their wide fingerprints agree, and their counts of different
-    shingles differ by a factor of RATIO at most. Documents without a doc_id take no part.
-    Texts are compared with those of their own size and the next, in blocks: balls this wide overlap nearly every
-    leaf of a vantage-point partition, so only the tree inside a task prunes.
+    Alike: the Jaccard similarity of their sets of shingles is at least `similarity`; texts without words are
+    alike. Candidates come from wide fingerprints, which let all but one in 10^6 pairs at the limit through where
+    texts are long, and fewer of a dozen words; every link between different sets is then verified exactly.
+    Documents without a doc_id take no part.
     """
 
-    def run(batches):
+    def prints_of(batches):
         for batch in batches:
             got = [wide_fingerprint(t, size) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in got], pa.binary()), pa.array([x[1] for x in got], pa.int64())], ["doc_id", "fp", "n"])
+            key, fp, n = zip(*got, strict=True) if got else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key, pa.binary()), pa.array(fp, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "key", "fp", "n"])
+
+    def sets_of(batches):
+        for batch in batches:
+            sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
+            keys, prints = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [h.tobytes() for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("first"), batch.column("root"), pa.array(keys, pa.binary()), pa.array(prints, pa.binary())], ["first", "root", "key", "h"])
 
-    radius = int((1 - similarity) * 64 * WORDS + 1e-9)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = cut(rows.mapInArrow(run, "doc_id long, fp binary, n long"))
-    distinct = cut(prints.groupBy("fp", "n").agg(F.min("doc_id").alias("first")))
-    ring = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(RATIO)) + 1e-9).cast("long")
-    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), ring.alias("ring")), F.struct(F.lit(1).alias("kind"), ring.alias("ring")), F.struct(F.lit(1).alias("kind"), (ring - 1).alias("ring"))))
-    routed = distinct.select("first", "fp", "n", kinds.alias("k")).select("first", "fp", "n", "k.*")
-    sizes = routed.groupBy("ring").agg(F.count_if(F.col("kind") == 0).alias("s"), F.count_if(F.col("kind") == 1).alias("q")).where("s > 0 and q > 0")
-    sizes = sizes.select("ring", F.ceil(F.col("s") / WIDE_STORED).alias("sb"), F.ceil(F.col("q") / WIDE_ASKED).alias("qb"))
-    own = F.pmod(F.xxhash64("first"), F.when(F.col("kind") == 0, F.col("sb")).otherwise(F.col("qb")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("kind") == 0, F.col("qb")).otherwise(F.col("sb")) - 1))
-    dealt = routed.join(sizes, "ring").select("ring", "kind", "first", "fp", "n", own.alias("own"), other.alias("other"))
-    dealt = dealt.select("ring", F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("other")).alias("x"), F.when(F.col("kind") == 0, F.col("other")).otherwise(F.col("own")).alias("y"), "kind", "first", "fp", "n")
-    roots = components(dealt.groupBy("ring", "x", "y").applyInPandas(_compare_wide(radius), "a long, b long"))
-    named = prints.join(distinct, ["fp", "n"]).select("doc_id", "first").join(roots.withColumnRenamed("node", "first"), "first", "left")
+    prints = cut(rows.mapInArrow(prints_of, "doc_id long, key binary, fp binary, n long"))
+    distinct = cut(prints.groupBy("key", "fp", "n").agg(F.min("doc_id").alias("first")))
+    groups = cut(components(_candidates(distinct, similarity)))
+    members = rows.join(groups.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("first"), "root", "text")
+    hashed = members.mapInArrow(sets_of, "first long, root long, key binary, h binary").groupBy("first", "root", "key").agg(F.first("h").alias("h"))
+    sets = cut(hashed.join(distinct, ["first", "key"]).select("first", "root", "fp", "n", "h"))
+    roots = components(_verified(sets, similarity))
+    named = prints.join(distinct, ["key", "fp", "n"]).select("doc_id", "first").join(roots.withColumnRenamed("node", "first"), "first", "left")
     return named.select("doc_id", F.coalesce("root", "first").alias("component_id")).where("doc_id <> component_id").distinct()

@@ -187,6 +187,41 @@ def test_near_copies(spark):
     assert got == {3 * i + k: 3 * i for i in range(60) for k in (1, 2)} | {1001: 1000}
 
 
+def brute_copies(rows, size=5, similarity=0.8):
+    sets = {}
+    for i, t in rows:
+        if i is not None:
+            sets.setdefault(i, set()).add(frozenset(simhash_vp.shingles(t, size)))
+    alike = [(a, b) for a in sets for b in sets if a < b and any((not x and not y) or len(x & y) >= similarity * len(x | y) > 0 for x in sets[a] for y in sets[b])]
+    root = brute_components(list(sets), alike)
+    return {i: r for i, r in root.items() if r != i}
+
+
+@pytest.mark.parametrize("block", [2_000_000, 3000])
+def test_near_copies_by_brute_force(spark, monkeypatch, block):
+    """Edits that leave similarities on both sides of the limit, chains, and a group of many blocks."""
+    monkeypatch.setattr(simhash_vp, "SET_HASHES", block)
+    monkeypatch.setattr(simhash_vp, "PIVOTS", 2)
+    rnd = random.Random(12)
+    bases = [[f"w{rnd.randint(0, 3000)}" for _ in range(n)] for n in (30, 60, 150, 400, 400)]
+    rows = []
+    for k in range(260):
+        w = list(bases[k % 5 if k < 100 else 4])
+        for _ in range(rnd.randint(0, max(1, len(w) // 30))):
+            w[rnd.randrange(len(w))] = f"e{k}"
+        rows.append((1000 - k, " ".join(w)))
+    chain = [f"c{i}" for i in range(200)]
+    for k in range(20):
+        rows.append((2000 + k, " ".join(chain[5 * k : 5 * k + 100])))
+    rows += [rows[0], (None, rows[3][1]), (3000, None), (3001, ""), (3002, "one two"), (3003, "ONE  two"), (3004, "long text " * 30000), (3005, "long text " * 29000)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("root", F.lit(1)).withColumn("h", F.lit("x"))
+    got = {r.doc_id: r.component_id for r in simhash_vp.near_copies(df).collect()}
+    want = brute_copies(rows)
+    assert got == want and len(set(want.values())) > 4
+    assert simhash_vp.near_copies(df.where("false")).count() == 0
+
+
 def test_decontamination(spark, docs, none):
     t = texts()
     items = [(1, t[30]), (2, "éß abc"), (3, ""), (4, None), (5, t[31][:200]), (6, "word " * 9), (7, t[30]), (None, t[33])]
