@@ -183,7 +183,7 @@ slot as (select doc_id, (11 * i + b) % 128 as slot, cast(sum(c * b) as bigint) a
 @query(f"""with head as (select doc_id, left(text, 2200) as text from documents), {_SLOTS.format('head')}
 select doc_id, cast(slot as bigint) as slot, cast(floor(v / sqrt(sum(v * v) over (partition by doc_id)) * 1e6 + 0.5) as bigint) as v_e6 from slot where v > 0""")
 def hash_embedding(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(V.hash_embedding(F.left("text", F.lit(2200)))).alias("slot", "v"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(V.hash_embedding("text")).alias("slot", "v"))
     return rows.where("v > 0").select("doc_id", F.col("slot").cast("long").alias("slot"), F.floor(F.col("v") * 1e6 + 0.5).cast("long").alias("v_e6"))
 
 
