@@ -6,6 +6,7 @@ import re
 
 import folioscope.plans.text_queries  # noqa: F401
 from folioscope.functions.text import WORD
+from folioscope.llm import queries, sp_tokens
 from folioscope.plans.registry import QUERIES
 from tests.oracle import SF
 
@@ -22,3 +23,31 @@ def test_hash_embedding_takes_whole_texts(spark):
         norm = math.sqrt(sum(x * x for x in v))
         want |= {(doc, k): math.floor(x / norm * 1e6 + 0.5) for k, x in enumerate(v) if x}
     assert {(r.doc_id, r.slot): r.v_e6 for r in QUERIES["hash_embedding"](spark, SF).collect()} == want
+
+
+def test_parity_of_every_text(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sp_tokens.MODEL)
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.op10_sentencepiece(spark, SF).collect()
+    assert len(got) == len(docs)
+    assert all(r.parity is not None and r.parity == (r.ids == sp.encode(docs[r.doc_id])) for r in got)
+    same = spark.createDataFrame([(i, t) for i, t in enumerate(["a text", None, "", "a text"] * 40)], "doc_id long, text string").coalesce(1)
+    assert all(r.parity for r in sp_tokens.encode(same).collect())
+
+
+def test_texts_that_differ_are_marked():
+    import pyarrow as pa
+
+    with open(sp_tokens.MODEL, "rb") as f:
+        data = f.read()
+    backend = sp_tokens._loaded(data)
+    encode = backend.encode
+    backend.encode = lambda normal: [x[:-1] if "odd" in t else x for t, x in zip(normal, encode(normal), strict=True)]
+    try:
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": [f"{'odd' if i % 3 else 'plain'} text {i // 6}" for i in range(60)]})
+        out = pa.Table.from_batches(list(sp_tokens._encode(data, sp_tokens.AUDIT, ["doc_id"])([batch])))
+    finally:
+        del backend.encode
+    assert out.column("parity").to_pylist() == [i % 3 == 0 for i in range(60)]
