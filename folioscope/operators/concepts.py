@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.functions.vectors import cosine, hash_embedding
+from folioscope.llm.common import cut
 
 # Fixed values.
 EXPLANATION = "Concept is grounded in this logical block and explained by the source fragment."
@@ -91,27 +93,26 @@ def term_frequency(terms: DataFrame, counts: DataFrame, key: list[str]) -> DataF
     return words.join(counts, [*key, "lemma"], "left").groupBy(*key, "normalized_term").agg(F.greatest(F.lit(1), F.min(F.coalesce("n", F.lit(1)))).cast("long").alias("frequency"))
 
 
-def resolved(names: DataFrame, alike: float = 0.9, close: float = 0.85, blocking: int = 3) -> DataFrame:
+def resolved(names: DataFrame, alike: float = 0.9, close: float = 0.85, block: int = 4096) -> DataFrame:
     """names(seq, name, description) in write order -> seq, normalized_name, concept (seq of the one that it became).
 
-    Exact names agree by a group-by. What is left is compared only where a decision could arise: names whose
-    lengths allow the ratio, within a block of equal beginnings or equal endings of `blocking` characters or
-    equal embeddings' neighbourhood words; each connected group is then decided in write order by one task.
+    Exact names agree by a group-by. Of what is left every pair is bounded, block by block, as any two texts may be
+    close by hashed words that share slots: a pair goes on if the product of its embeddings is near enough, or if
+    the counts of its characters allow the ratio. Each connected group is then decided in write order by one task.
     """
     rows = names.select("seq", T.concept_name(F.col("name")).alias("normalized_name"), F.coalesce("description", F.lit("")).alias("description"), "name").where("normalized_name <> ''")
     firsts = rows.groupBy("normalized_name").agg(F.min(F.struct("seq", "name", "description")).alias("f")).select("normalized_name", "f.*")
-    blocks = firsts.withColumn("block", F.explode(F.array_distinct(F.concat(F.split("normalized_name", " "), F.array(F.left("normalized_name", F.lit(blocking)), F.right("normalized_name", F.lit(blocking)))))))
-    a = blocks.select("block", F.col("seq").alias("a"), F.col("normalized_name").alias("na"), F.length("normalized_name").alias("la"))
-    b = blocks.select("block", F.col("seq").alias("b"), F.col("normalized_name").alias("nb"), F.length("normalized_name").alias("lb"))
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)])
 
-    pairs = a.join(b, "block").where("a < b and 2.0 * least(la, lb) / (la + lb) >= 0.5").drop("block").distinct()
     vec = firsts.select("seq", hash_embedding("normalized_name").alias("v"), hash_embedding(F.concat_ws(". ", "name", "description")).alias("d"))
-    scored = pairs.join(vec.select(F.col("seq").alias("b"), F.col("v").alias("vb")), "b").join(vec.select(F.col("seq").alias("a"), F.col("d").alias("da")), "a")
-    scored = scored.select("a", "b", "na", F.greatest(ratio("nb", "na"), F.lit(0.0)).alias("r"), cosine(F.col("vb"), F.col("da")).alias("c")).where((F.col("r") >= alike) | (F.col("c") >= close))
+    pairs = _candidates(firsts.select("seq", "normalized_name").join(vec, "seq"), alike, close, max(1, -(-firsts.count() // block)))
+    old = vec.join(firsts, "seq").select(F.col("seq").alias("a"), F.col("normalized_name").alias("na"), F.col("d").alias("da"))
+    new = vec.join(firsts, "seq").select(F.col("seq").alias("b"), F.col("normalized_name").alias("nb"), F.col("v").alias("vb"))
+    scored = pairs.join(new, "b").join(old, "a")
+    scored = cut(scored.select("a", "b", "na", F.greatest(ratio("nb", "na"), F.lit(0.0)).alias("r"), cosine(F.col("vb"), F.col("da")).alias("c")).where((F.col("r") >= alike) | (F.col("c") >= close)))
     roots = _roots(scored.select("a", "b"))
     grouped = scored.join(roots, F.col("a") == roots["node"]).select("root", "a", "b", "na", "r", "c")
 
@@ -130,6 +131,43 @@ def resolved(names: DataFrame, alike: float = 0.9, close: float = 0.85, blocking
     return rows.join(first, "normalized_name").select("seq", "normalized_name", "concept")
 
 
+def _candidates(rows: DataFrame, alike: float, close: float, blocks: int) -> DataFrame:
+    """rows(seq, normalized_name, v, d) -> all pairs a < b whose bounds reach either limit; rows are dealt into `blocks`."""
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("seq"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def bounded(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["own"] == pdf["own"].min()], pdf[pdf["own"] == pdf["own"].max()]
+        x_seq, y_seq = x["seq"].to_numpy(), y["seq"].to_numpy()
+        x_len, y_len = x["normalized_name"].str.len().to_numpy(), y["normalized_name"].str.len().to_numpy()
+        x_v, x_d, y_v, y_d = (np.stack(c) for c in (x["v"], x["d"], y["v"], y["d"]))
+        x_n, y_n = _characters(x["normalized_name"]), _characters(y["normalized_name"])
+        y_norm = (y_n * y_n).sum(axis=1)
+        a, b = [], []
+        for k in range(0, len(x), 512):
+            s = slice(k, k + 512)
+            first = x_seq[s, None] < y_seq
+            ok = np.where(first, x_d[s] @ y_v.T, x_v[s] @ y_d.T) >= close - 1e-6
+            # The ratio is 2 * matched / both lengths, so (1 - alike) of both is the most that character counts differ by.
+            most = (1 - alike) * (x_len[s, None] + y_len) + 1e-6
+            near = (x_n[s] * x_n[s]).sum(axis=1)[:, None] + y_norm - 2 * (x_n[s] @ y_n.T) <= most * most
+            i, j = np.nonzero(near & ~ok)
+            for c in range(0, len(i), 65536):
+                p, q = i[c : c + 65536], j[c : c + 65536]
+                ok[p, q] = np.abs(x_n[s][p] - y_n[q]).sum(axis=1) <= most[p, q]
+            i, j = np.nonzero(ok & (x_seq[s, None] != y_seq))
+            a.append(np.minimum(x_seq[s][i], y_seq[j]))
+            b.append(np.maximum(x_seq[s][i], y_seq[j]))
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    pairs = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).groupBy("x", "y").applyInPandas(bounded, "a long, b long")
+    return pairs.distinct()
+
+
+def _characters(names: pd.Series) -> np.ndarray:
+    """Counts of each name's characters by their codes modulo 64; merged characters only lessen differences."""
+    return np.stack([np.bincount([ord(c) % 64 for c in n], minlength=64) for n in names]).astype(float)
+
+
 def _roots(links: DataFrame) -> DataFrame:
     """Smallest node reachable, by rounds of minima over the links until nothing changes."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
