@@ -137,8 +137,8 @@ select user_id, k as rank, name, cast(kind as integer) as kind from k where (kin
 def topup_concepts(spark, sf_dir):
     from pyspark.sql import Window
 
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0")
-    found = o.select(F.col("o_custkey").alias("user_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rank"), F.concat(F.lit("c"), (F.col("o_orderkey") % 5).cast("string")).alias("name")).where("rank <= 2")
+    o = table(spark, sf_dir, "orders")
+    found = o.select(F.col("o_custkey").alias("user_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rank"), F.concat(F.lit("c"), (F.col("o_orderkey") % 5).cast("string")).alias("name"))
     spare = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("rank")).withColumn("name", F.concat(F.lit("C"), F.col("rank").cast("string")))
     return C.topped_up(found, spare, ["user_id"])
 

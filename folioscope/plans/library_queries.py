@@ -177,8 +177,10 @@ def _themes(spark, sf_dir):
 
 
 def _subtopics(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id % 4 = 0")
-    return rows.select((F.col("event_id") % 500).alias("theme_id"), F.col("event_id").alias("subtopic_id"), F.col("event_type").alias("name"), ((F.col("event_id") % 130) / 100).alias("score"))
+    """All events, dealt over all themes."""
+    themes = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("themes"))
+    rows = table(spark, sf_dir, "events").crossJoin(F.broadcast(themes))
+    return rows.select((F.col("event_id") % F.col("themes")).alias("theme_id"), F.col("event_id").alias("subtopic_id"), F.col("event_type").alias("name"), ((F.col("event_id") % 130) / 100).alias("score"))
 
 
 _MAP = "theme as (select label as book_id, vec_id as theme_id, 'Theme ' || cast(vec_id as varchar) as title from embeddings), subtopic as (select event_id % 500 as theme_id, event_id as subtopic_id, event_type as name, (event_id % 130) / 100 as score from events where event_id % 4 = 0)"

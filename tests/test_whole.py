@@ -8,12 +8,14 @@ from difflib import SequenceMatcher
 
 import pytest
 
+import folioscope.plans.analysis_queries
+import folioscope.plans.library_queries
 import folioscope.plans.text_queries  # noqa: F401
 from folioscope.functions.text import WORD
 from folioscope.llm import queries, sp_tokens
 from folioscope.operators import concepts
-from folioscope.plans.registry import QUERIES
-from tests.oracle import SF
+from folioscope.plans.registry import QUERIES, SQL
+from tests.oracle import SF, duck, spark_rows
 
 
 def test_hash_embedding_takes_whole_texts(spark):
@@ -101,3 +103,17 @@ def test_resolution_compares_all_names(spark, block):
     assert want[1] == 0 and want[3] == 2 and want[5] == 4 and want[7] == 6
     df = spark.createDataFrame(rows, "seq long, name string, description string")
     assert {r.seq: r.concept for r in concepts.resolved(df, block=block).collect()} == want
+
+
+#: What a query's SQL leaves out, and what stands in its place where all rows are read.
+CUTS = {" where o_orderkey % 9 = 0": "", " where rank <= 2": "", " where event_id % 4 = 0": "", "event_id % 500 as": "event_id % (select count(*) from embeddings) as"}
+
+
+@pytest.mark.parametrize("name", ["topup_concepts", "map_nodes", "map_contains_edges", "map_meta"])
+def test_reads_all_orders_and_events(spark, name):
+    sql = SQL[name]
+    for a, b in CUTS.items():
+        sql = sql.replace(a, b)
+    # With 500 themes and with 2000.
+    for sf_dir in (SF, SF.replace("sf0.001", "sf0.1")):
+        assert spark_rows(QUERIES[name](spark, sf_dir)) == duck(sql, sf_dir)
