@@ -93,7 +93,7 @@ def theme_subtopics(spark, sf_dir):
 @query("""with s as (select conv_id as book, role, turn, lower(left(text, 6)) as nm from conversations), n as (select book, turn, array_to_string(list_filter(regexp_extract_all(nm, '[A-Za-zА-Яа-яЁё0-9-]+'), lambda w: not regexp_full_match(w, '[0-9]+')), ' ') as normalized_name from s),
 d as (select book, normalized_name, min(turn) as idx from n group by 1, 2), r as (select *, row_number() over (partition by book order by idx) as k from d) select book, idx, normalized_name from r where k <= 4""")
 def subtopic_dedupe(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.lit(1).alias("theme"), F.col("turn").alias("idx"), F.left("text", F.lit(6)).alias("name"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.lit(1).alias("theme"), F.col("turn").alias("idx"), F.col("text").alias("name"))
     return H.deduplicated_subtopics(rows).select("book", "idx", "normalized_name")
 
 

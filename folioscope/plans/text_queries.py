@@ -73,7 +73,7 @@ def strip_tags(spark, sf_dir):
 when doc_id % 2 = 0 then regexp_matches(v, '[А-Яа-яЁёA-Za-z]') or regexp_matches(v, '^[A-Z0-9-]{2,8}$') else true end as fits from (select doc_id, trim(left(text, 40), ' ') as v from documents)""")
 def lang_compat(spark, sf_dir):
     hint = F.when(F.col("doc_id") % 2 == 0, "ru").otherwise("en")
-    return _docs(spark, sf_dir).select("doc_id", T.language_fits(F.left("text", F.lit(40)), hint).alias("fits"))
+    return _docs(spark, sf_dir).select("doc_id", T.language_fits(F.col("text"), hint).alias("fits"))
 
 
 _NAME = f"array_to_string(list_filter(list_transform(regexp_extract_all({{0}}, '{WORD}'), lambda w: lower(w)), lambda w: not regexp_full_match(w, '[0-9]+')), ' ')"
@@ -81,7 +81,7 @@ _NAME = f"array_to_string(list_filter(list_transform(regexp_extract_all({{0}}, '
 
 @query(f"select doc_id, {_NAME.format('left(text, 60)')} as name from documents")
 def concept_normalize(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.concept_name(F.left("text", F.lit(60))).alias("name"))
+    return _docs(spark, sf_dir).select("doc_id", T.concept_name(F.col("text")).alias("name"))
 
 
 @query(f"""select doc_id, n = '' or length(n) < 2 or len(string_split(n, ' ')) > 7 or (len(string_split(n, ' ')) = 1 and n in ('текст','книга','глава','раздел','пример','задача','тема','автор')) or regexp_full_match(n, '[0-9]+') as bad
@@ -120,8 +120,8 @@ hit as (select doc_id, v, cast(contains(lower(v), 'this section discusses') as i
 select doc_id, contains(lower(v), 'main meaning') or en >= 2 or (length(v) < 65 and en >= 1) as generic from hit""")
 def generic_summary(spark, sf_dir):
     k = F.col("doc_id") % 4
-    v = F.when(k == 0, F.concat(F.lit("This section discusses "), F.left("text", F.lit(20)))).when(k == 1, F.concat(F.lit("This chapter discusses and this block discusses "), F.left("text", F.lit(60))))
-    v = v.when(k == 2, F.concat(F.lit("Main meaning: "), F.left("text", F.lit(90)))).otherwise(F.left("text", F.lit(90)))
+    v = F.when(k == 0, F.concat(F.lit("This section discusses "), F.col("text"))).when(k == 1, F.concat(F.lit("This chapter discusses and this block discusses "), F.col("text")))
+    v = v.when(k == 2, F.concat(F.lit("Main meaning: "), F.col("text"))).otherwise(F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", T.generic_summary(v).alias("generic"))
 
 

@@ -117,3 +117,16 @@ def test_reads_all_orders_and_events(spark, name):
     # With 500 themes and with 2000.
     for sf_dir in (SF, SF.replace("sf0.001", "sf0.1")):
         assert spark_rows(QUERIES[name](spark, sf_dir)) == duck(sql, sf_dir)
+
+
+@pytest.mark.parametrize("name", ["concept_normalize", "lang_compat", "generic_summary", "subtopic_dedupe"])
+def test_whole_texts(spark, name):
+    whole = re.sub(r"left\(text, [0-9]+\)", "text", SQL[name])
+    assert whole != SQL[name]
+    assert spark_rows(QUERIES[name](spark, SF)) == duck(whole)
+
+
+def test_language_of_whole_texts(spark, tmp_path):
+    rows = [(1, "a" * 45 + " 漢"), (2, "1 " * 30 + "word"), (3, "plain")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.fits for r in QUERIES["lang_compat"](spark, str(tmp_path)).collect()} == {1: False, 2: True, 3: True}
