@@ -25,6 +25,12 @@ GENERIC_RU = [
 GENERIC_EN = ["this section discusses", "this chapter discusses", "this block discusses", "the main idea is", "this material describes", "main meaning", "2-4 sentences"]
 GENERIC_ALWAYS = ["main meaning", "2-4 предложения", "2-4 sentences", "по сути, с конкретикой из блоков"]
 
+COMPARED = [
+    "2. Differences: emphasis changes by context of each source.",
+    "3. Where simpler: shorter and more applied explanations.",
+    "4. Where deeper: longer blocks with expanded reasoning.",
+]
+
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
@@ -175,3 +181,17 @@ def page_paragraphs(text: Column) -> Column:
     begin = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
     built = F.aggregate(parts, begin, add, lambda acc: F.filter(F.array_append(acc["done"], acc["open"]), lambda p: F.length(p) >= 20))
     return F.when(F.size(pieces) > 0, pieces).otherwise(built)
+
+
+def prompt_targets(total: Column, least: int, target: int, most: int) -> Column:
+    """How many blocks a chapter of so many words is asked to be cut into: total / target, within what the sizes allow."""
+    low, high = (F.greatest(F.lit(1), F.ceil(total / max(1, x))) for x in (most, least))
+    wanted = F.greatest(F.lit(1), F.bround(total / max(1, target)))
+    return F.greatest(low, F.least(high, wanted)).cast("long")
+
+
+def compare_reply(name: Column, titles: Column) -> Column:
+    """The answer to a comparison that needs no model: titles are the different titles of the sources, joined."""
+    first = F.concat(F.lit("1. Common points: concept '"), name, F.lit("' appears in multiple user sources."))
+    last = F.concat(F.lit("5. Final takeaway: comparison built from books "), or_default(F.coalesce(titles, F.lit("")), "without source labels"), F.lit("."))
+    return F.concat_ws("\n", first, *[F.lit(x) for x in COMPARED], last)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,9 +20,7 @@ _WORDS = re.compile(WORD)
 _SLOTS = np.arange(16) * 11
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def hash_embedding(text: pd.Series) -> pd.Series:
-    """Unit vectors of hashed words. Each batch hashes a word once; built-in functions would deal out 16 rows a word."""
+def _hasher() -> Callable[[str | None], np.ndarray]:
     known: dict[str, np.ndarray] = {}
 
     def digest(w: str) -> np.ndarray:
@@ -37,7 +36,50 @@ def hash_embedding(text: pd.Series) -> pd.Series:
         norm = math.sqrt(float(out @ out))
         return out / norm if norm else out
 
-    return text.map(one)
+    return one
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def hash_embedding(text: pd.Series) -> pd.Series:
+    """Unit vectors of hashed words. Each batch hashes a word once; built-in functions would deal out 16 rows a word."""
+    return text.map(_hasher())
+
+
+def embedding(text: Column | str, load: Callable[[], Callable[[str], Sequence[float]]] | None = None) -> Column:
+    """Vectors of texts by a model, or by hashed words where there is none.
+
+    load() makes the model, once in each task: a function from a text to its unit vector. If it can't be loaded all
+    texts, and if it fails on a text that text, are hashed instead.
+    """
+    if load is None:
+        return hash_embedding(text)
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        spare = _hasher()
+        try:
+            model = load()
+        except Exception:
+            model = spare
+
+        def one(t: str | None) -> list[float]:
+            try:
+                return [float(x) for x in model(t or "")]
+            except Exception:
+                return spare(t).tolist()
+
+        for texts in batches:
+            yield texts.map(one)
+
+    return encoded(text)
+
+
+def embedded(text: str, load: Callable[[], Callable[[str], Sequence[float]]] | None = None) -> list[float]:
+    """The vector of one text, as embedding() makes it."""
+    try:
+        return [float(x) for x in load()(text)] if load else _hasher()(text).tolist()
+    except Exception:
+        return _hasher()(text).tolist()
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.functions.vectors import cosine, hash_embedding
-from folioscope.llm.common import cut
+from folioscope.tables import components, cut
 
 # Fixed values.
 EXPLANATION = "Concept is grounded in this logical block and explained by the source fragment."
@@ -113,7 +113,7 @@ def resolved(names: DataFrame, alike: float = 0.9, close: float = 0.85, block: i
     new = vec.join(firsts, "seq").select(F.col("seq").alias("b"), F.col("normalized_name").alias("nb"), F.col("v").alias("vb"))
     scored = pairs.join(new, "b").join(old, "a")
     scored = cut(scored.select("a", "b", "na", F.greatest(ratio("nb", "na"), F.lit(0.0)).alias("r"), cosine(F.col("vb"), F.col("da")).alias("c")).where((F.col("r") >= alike) | (F.col("c") >= close)))
-    roots = _roots(scored.select("a", "b"))
+    roots = components(scored.select("a", "b"))
     grouped = scored.join(roots, F.col("a") == roots["node"]).select("root", "a", "b", "na", "r", "c")
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -168,20 +168,28 @@ def _characters(names: pd.Series) -> np.ndarray:
     return np.stack([np.bincount([ord(c) % 64 for c in n], minlength=64) for n in names]).astype(float)
 
 
-def _roots(links: DataFrame) -> DataFrame:
-    """Smallest node reachable, by rounds of minima over the links until nothing changes."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
-    at = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    while True:
-        low = both.join(at.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("low"))
-        nxt = at.join(low, at["node"] == low["a"], "left").select("node", F.least("root", F.coalesce("low", "root")).alias("root"), (F.coalesce("low", "root") < F.col("root")).alias("moved")).persist()
-        if nxt.where("moved").isEmpty():
-            return nxt.select("node", "root")
-        at = nxt.select("node", "root")
-
-
 def last_mentions(writes: DataFrame) -> DataFrame:
     """writes(seq, concept, block, ...): the last write of each (concept, block), with the number of writes."""
     whole = Window.partitionBy("concept", "block")
     rows = writes.withColumn("k", F.row_number().over(whole.orderBy(F.desc("seq")))).withColumn("writes", F.count("*").over(whole))
     return rows.where("k = 1").drop("k")
+
+
+def written(writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Concepts and mentions left by writes(seq, name, summary, book, block, quote, importance), in order of seq.
+
+    A name that is empty or bad is skipped. The first writer of a concept gives its name, the first summary that isn't
+    empty its description. The last write of a concept in a block gives the mention.
+    concepts: concept, name, normalized_name, description. mentions: concept, block, book, seq, explanation, quote, importance.
+    """
+    name = F.trim("name")
+    rows = writes.withColumn("name", name).where((F.coalesce(name, F.lit("")) != "") & ~T.bad_concept(F.col("name")))
+    rows = cut(rows.withColumns({"summary": F.left(F.trim(F.coalesce("summary", F.lit(""))), F.lit(2000)), "importance": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("importance", F.lit(0.6))))}))
+    became = cut(resolved(rows.select("seq", "name", F.col("summary").alias("description"))))
+    rows = rows.join(became, "seq")
+    kept = rows.groupBy("concept").agg(
+        F.left(F.min_by("name", "seq"), F.lit(255)).alias("name"), F.left(F.min_by("normalized_name", "seq"), F.lit(255)).alias("normalized_name"),
+        F.coalesce(F.min_by("summary", F.when(F.col("summary") != "", F.col("seq"))), F.lit("")).alias("description"),
+    )
+    mentions = last_mentions(rows.select("concept", "block", "book", "seq", F.col("summary").alias("explanation"), "quote", "importance")).drop("writes")
+    return kept, mentions

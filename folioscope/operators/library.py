@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.functions.vectors import cosine, embedded, embedding
 
 # Fixed values.
 BOOK_LIMIT, UPLOAD_LIMIT = 50, 50 * 1024 * 1024
@@ -123,14 +124,113 @@ def hybrid_search(concepts: DataFrame, scores: DataFrame, q: str, most: int = 10
     return found.join(concepts.select("concept_id", "name"), "concept_id").select("concept_id", "name", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def nearest_to(vectors: DataFrame, asked: DataFrame, k: int, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """The k rows of highest cosine to the vector of the one row of asked(vec); none without it."""
+    one = asked.select(F.col(vec).alias("_asked")).limit(1)
+    rows = vectors.withColumn("_on", F.lit(1)).join(F.broadcast(one.withColumn("_on", F.lit(1))), "_on")
+    return rows.select(key, cosine(F.col(vec), F.col("_asked")).alias("score")).orderBy(F.desc("score"), key).limit(k)
+
+
 def nearest(vectors: DataFrame, query: list[float], k: int, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """The k rows of highest cosine to the query vector: a scan with a top-k in each task."""
-    from folioscope.functions.vectors import cosine
-
     score = cosine(F.col(vec), F.array(*[F.lit(float(x)) for x in query]))
     return vectors.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def similar_blocks(blocks: DataFrame, books: DataFrame, query: str, user: int, k: int = 5, load=None) -> DataFrame:
+    """The user's k blocks (book_id, order_number, title, short_summary, source_text) nearest to the words of a query."""
+    text = T.or_default(F.col("short_summary"), F.left("source_text", F.lit(3000)))
+    return _similar(visible(blocks, books, user).withColumn("text", text), query, ["book_id", "order_number"], k, load)
+
+
+def similar_concepts(concepts: DataFrame, mentions: DataFrame, books: DataFrame, query: str, user: int, k: int = 10, load=None) -> DataFrame:
+    """The k concepts (concept_id, name, description) nearest to a query, of those that the user's books mention."""
+    own = visible(mentions, books, user).select("concept_id").distinct()
+    return _similar(concepts.join(own, "concept_id", "left_semi").withColumn("text", F.concat_ws(". ", "name", "description")), query, ["concept_id"], k, load)
+
+
+def _similar(rows: DataFrame, query: str, key: list[str], k: int, load) -> DataFrame:
+    asked = F.array(*[F.lit(x) for x in embedded(query, load)])
+    scored = rows.withColumn("score", cosine(embedding("text", load), asked)).drop("text")
+    return scored.orderBy(F.desc("score"), *key).limit(k)
+
+
+def concept_page(mentions: DataFrame, concepts: DataFrame, books: DataFrame, blocks: DataFrame, edits: DataFrame, concept: int, user: int) -> DataFrame:
+    """A concept's mentions in the user's library, best first, with the user's own explanations and newest copies; none if it isn't there."""
+    own = visible(mentions.where(F.col("concept_id") == concept), books, user, keep_duplicates=True)
+    own = effective_explanations(own, edits, user).join(concepts.select("concept_id", "name"), "concept_id")
+    titles = blocks.select("book_id", F.col("order_number").alias("block_no"), F.col("title").alias("block_title"))
+    newest = latest_books(books.where(F.col("user_id") == user)).drop("user_id")
+    return own.join(titles, ["book_id", "block_no"], "left").join(newest, "book_id").orderBy(F.desc("importance"), F.desc("mention_id"))
+
+
+def concept_context(mentions: DataFrame, concepts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every mention with its concept's name and block's title, in falling order of importance within the concept."""
+    titles = blocks.select("book_id", F.col("order_number").alias("block_no"), F.col("title").alias("block_title"))
+    rows = mentions.join(concepts.select("concept_id", "name"), "concept_id").join(titles, ["book_id", "block_no"])
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("concept_id").orderBy(F.desc("importance"), "mention_id")))
+
+
+def concepts_by_name(mentions: DataFrame, concepts: DataFrame, books: DataFrame, q: str = "") -> DataFrame:
+    """all_concepts() of which the name or the normalised name holds q, in order of their names."""
+    if q:
+        concepts = concepts.where(T.contains_fold(F.col("name"), q) | T.contains_fold(F.col("normalized_name"), T.concept_name(F.lit(q))))
+    return all_concepts(mentions, concepts, books).orderBy("user_id", "name", "concept_id")
+
+
+def book_page(book: DataFrame, blocks: DataFrame, themes: DataFrame, subtopics: DataFrame, mentions: DataFrame, concepts: DataFrame) -> DataFrame:
+    """For each row of book(book_id, ...): blocks, themes with their subtopics, and mentions by importance and name, as arrays in order."""
+    own = blocks.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("order_number", "title"))).alias("blocks"))
+    below = subtopics.groupBy("theme_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_score"), "subtopic_id", "name"))).alias("s"))
+    listed = themes.join(below, "theme_id", "left").select("book_id", F.struct("ord", "title", F.coalesce(F.transform("s", lambda x: x["name"]), F.array().cast("array<string>")).alias("subtopics")).alias("t"))
+    listed = listed.groupBy("book_id").agg(F.array_sort(F.collect_list("t")).alias("themes"))
+    named = mentions.join(concepts.select("concept_id", "name"), "concept_id")
+    found = named.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("_score"), "name", "mention_id"))).alias("m"))
+    rows = book.join(own, "book_id", "left").join(listed, "book_id", "left").join(found, "book_id", "left")
+    return rows.withColumn("mentions", F.transform("m", lambda x: F.struct(x["name"].alias("name"), x["mention_id"].alias("mention_id")))).drop("m")
+
+
+def find_book(books: DataFrame, name: str) -> DataFrame:
+    """For each user the newest book whose title holds a name."""
+    rows = books.where(T.contains_fold(F.col("title"), name))
+    return top_per_user(rows, [F.desc("uploaded_at"), F.desc("id")], 1).drop("rank")
+
+
+def concept_cards(mentions: DataFrame, concepts: DataFrame, books: DataFrame, name: str, k: int = 10) -> DataFrame:
+    """For each user the k best mentions of the first concept of all whose name holds a name."""
+    first = concepts.where(T.contains_fold(F.col("name"), name)).orderBy("concept_id").limit(1).select("concept_id", "name")
+    return top_per_user(visible(mentions.join(F.broadcast(first), "concept_id"), books, keep_duplicates=True), [F.desc("importance"), F.asc("mention_id")], k)
+
+
+def found_concepts(mentions: DataFrame, concepts: DataFrame, books: DataFrame, q: str, k: int = 20) -> DataFrame:
+    """For each user the first k concepts of the library whose names hold q."""
+    rows = visible(mentions.select("book_id", "concept_id"), books).select("user_id", "concept_id").distinct()
+    return top_per_user(rows.join(concepts.where(T.contains_fold(F.col("name"), q)).select("concept_id", "name"), "concept_id"), [F.asc("concept_id")], k)
+
+
+def toggled(books: DataFrame, ids: DataFrame) -> DataFrame:
+    """books with is_protected turned round for each id of ids."""
+    marked = books.join(ids.select("id").distinct().withColumn("_turn", F.lit(True)), "id", "left")
+    return marked.withColumn("is_protected", F.col("is_protected") != F.coalesce("_turn", F.lit(False))).drop("_turn")
+
+
+def deleted(books: DataFrame, ids: DataFrame) -> DataFrame:
+    """books without those of ids that aren't protected."""
+    return books.join(deletable(books).join(ids.select("id"), "id", "left_semi").select("id"), "id", "left_anti")
+
+
+def reanalysed(books: DataFrame, ids: DataFrame) -> DataFrame:
+    """books with the status `processing` and no error for each id of ids."""
+    marked = books.join(ids.select("id").distinct().withColumn("_again", F.lit(True)), "id", "left")
+    return marked.withColumn("status", F.when(F.col("_again"), "processing").otherwise(F.col("status"))).drop("_again")
+
+
+def latest_status(log: DataFrame, most: int = 2000) -> DataFrame:
+    """log(book, ts, error) of finished analyses: the last one's status, ready or failed, and its error."""
+    last = log.groupBy("book").agg(F.max_by(F.struct("error"), "ts").alias("x"))
+    return last.select("book", F.when(F.col("x.error").isNull(), "ready").otherwise("failed").alias("status"), F.left(F.coalesce("x.error", F.lit("")), F.lit(most)).alias("error_message"))
+
+
 def compared_titles(mentions: DataFrame, books: DataFrame, least: int = 1) -> DataFrame:
     """user_id, concept_id, mentions, titles for concepts with at least `least` mentions."""
     rows = mentions.join(books.select("user_id", "book_id", "title").distinct(), "book_id")

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.functions.jsonx import clean_boundaries
 from folioscope.functions.vectors import cosine, hash_embedding
+from folioscope.tables import cut
 
 # Fixed values.
 TRANSITIONS = ["итак", "таким образом", "следовательно", "в заключение", "подведем итог", "далее", "с другой стороны", "однако", "например"]
@@ -53,8 +55,8 @@ def _fold(items: Column, step) -> Column:
     begin = F.struct(F.lit(0).cast("long").alias("acc"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"))
 
     def add(state: Column, item: Column) -> Column:
-        cut, acc = step(state, item)
-        chunk = state["chunk"] + F.when(cut, 1).otherwise(0)
+        fresh, acc = step(state, item)
+        chunk = state["chunk"] + F.when(fresh, 1).otherwise(0)
         return F.struct(acc.cast("long").alias("acc"), chunk.alias("chunk"), F.array_append(state["out"], chunk).alias("out"))
 
     return F.aggregate(items, begin, add, lambda s: s["out"])
@@ -64,8 +66,8 @@ def greedy_words(items: Column, target: int) -> Column:
     """Cut after the paragraph with which a chunk reaches the target; the most is never below it."""
 
     def step(state: Column, item: Column) -> tuple[Column, Column]:
-        cut = state["acc"] >= target
-        return cut, F.when(cut, item["words"]).otherwise(state["acc"] + item["words"])
+        fresh = state["acc"] >= target
+        return fresh, F.when(fresh, item["words"]).otherwise(state["acc"] + item["words"])
 
     return _fold(items, step)
 
@@ -75,9 +77,9 @@ def greedy_scores(items: Column, least: int, target: int, most: int) -> Column:
 
     def step(state: Column, item: Column) -> tuple[Column, Column]:
         acc = state["acc"]
-        cut = (item["idx"] > 1) & (((acc >= least) & (item["score"] >= STRONG)) | ((acc >= target) & (item["score"] >= WEAK)) | (acc + item["words"] > most))
-        cut = F.coalesce(cut, F.lit(False))
-        return cut, F.when(cut, item["words"]).otherwise(acc + item["words"])
+        fresh = (item["idx"] > 1) & (((acc >= least) & (item["score"] >= STRONG)) | ((acc >= target) & (item["score"] >= WEAK)) | (acc + item["words"] > most))
+        fresh = F.coalesce(fresh, F.lit(False))
+        return fresh, F.when(fresh, item["words"]).otherwise(acc + item["words"])
 
     return _fold(items, step)
 
@@ -106,31 +108,44 @@ def valid_chapters(rows: DataFrame, least: int, most: int) -> DataFrame:
 
 def chunk_numbers(paragraphs: DataFrame, least: int, target: int, most: int) -> DataFrame:
     """(book, chapter, idx, words, chunk) by the whole rule: word counts for the first chapters of middling length, if valid, else scores."""
-    scored = chapters(boundary_scores(paragraphs), "score")
+    scored = cut(chapters(boundary_scores(paragraphs), "score"))
     by_score = merged_small(numbered(scored, greedy_scores(F.col("items"), least, target, most)), max(80, least // 2))
     sized = scored.select("book", "chapter", "items", F.size("items").between(LEAST_PARAGRAPHS, MOST_PARAGRAPHS).alias("fits"))
     first = Window.partitionBy("book", "fits").orderBy("chapter")
     chosen = sized.where("fits").withColumn("k", F.row_number().over(first)).where(F.col("k") <= MOST_CHAPTERS)
     by_words = merged_small(numbered(chosen, greedy_words(F.col("items"), target)), max(40, least // 2))
     # Chunks over the most are split again by scores, which numbers them anew within the chapter.
-    wide = by_words.withColumn("chunk_words", F.sum("words").over(Window.partitionBy("book", "chapter", "chunk")))
+    wide = cut(by_words).withColumn("chunk_words", F.sum("words").over(Window.partitionBy("book", "chapter", "chunk")))
     scores = scored.select("book", "chapter", F.explode("items").alias("i")).select("book", "chapter", "i.idx", "i.score")
     again = wide.where(F.col("chunk_words") > most).join(scores, ["book", "chapter", "idx"])
     parts = again.groupBy("book", "chapter", "chunk").agg(F.array_sort(F.collect_list(F.struct("idx", "words", "score"))).alias("items"), F.min("idx").alias("lo"))
     local = F.transform("items", lambda x: F.struct((x["idx"] - F.col("lo") + 1).alias("idx"), x["words"].alias("words"), x["score"].alias("score")))
     parts = parts.withColumn("local", local)
-    cut = parts.select("book", "chapter", "chunk", F.explode(F.arrays_zip(F.col("items"), greedy_scores(F.col("local"), least, target, most).alias("sub"))).alias("z")).select("book", "chapter", "chunk", "z.items.idx", "z.items.words", "z.sub")
+    again = parts.select("book", "chapter", "chunk", F.explode(F.arrays_zip(F.col("items"), greedy_scores(F.col("local"), least, target, most).alias("sub"))).alias("z")).select("book", "chapter", "chunk", "z.items.idx", "z.items.words", "z.sub")
     sub = Window.partitionBy("book", "chapter", "chunk", "sub")
     run = Window.partitionBy("book", "chapter", "chunk").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    cut = cut.withColumn("w", F.sum("words").over(sub)).withColumn("head", F.col("idx") == F.min("idx").over(sub))
-    cut = cut.withColumn("sub", F.sum((F.col("head") & ((F.col("sub") == 0) | (F.col("w") >= max(80, least // 2)))).cast("int")).over(run) - 1)
-    joined = wide.where(F.col("chunk_words") <= most).select("book", "chapter", "idx", "words", "chunk", F.lit(0).alias("sub")).unionByName(cut.select("book", "chapter", "idx", "words", "chunk", "sub"))
+    again = again.withColumn("w", F.sum("words").over(sub)).withColumn("head", F.col("idx") == F.min("idx").over(sub))
+    again = again.withColumn("sub", F.sum((F.col("head") & ((F.col("sub") == 0) | (F.col("w") >= max(80, least // 2)))).cast("int")).over(run) - 1)
+    joined = wide.where(F.col("chunk_words") <= most).select("book", "chapter", "idx", "words", "chunk", F.lit(0).alias("sub")).unionByName(again.select("book", "chapter", "idx", "words", "chunk", "sub"))
     dense = F.dense_rank().over(Window.partitionBy("book", "chapter").orderBy("chunk", "sub")) - 1
-    by_words = merged_small(joined.select("book", "chapter", "idx", "words", dense.alias("chunk")), max(40, least // 2))
+    by_words = cut(merged_small(joined.select("book", "chapter", "idx", "words", dense.alias("chunk")), max(40, least // 2)))
     good = valid_chapters(by_words, least, most).where("valid").select("book", "chapter")
     return by_words.join(good, ["book", "chapter"], "left_semi").unionByName(by_score.join(good, ["book", "chapter"], "left_anti"))
 
 
+def split_at(paragraphs: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """(book, chapter, idx, words, chunk): chapters cut after the paragraphs that boundaries(book, chapter, after) name.
+
+    after is an array of numbers or texts from anywhere, a model's reply for one; what is no place in the chapter is
+    left out, and the last paragraph always ends a chunk. A chapter without a row is one chunk.
+    """
+    rows = paragraphs.select("book", "chapter", "idx", "words", F.max("idx").over(Window.partitionBy("book", "chapter")).alias("n"))
+    rows = rows.join(boundaries.select("book", "chapter", "after"), ["book", "chapter"], "left")
+    ends = clean_boundaries(F.coalesce(F.col("after").cast("array<string>"), F.array().cast("array<string>")), F.col("n"))
+    before = F.size(F.filter(ends, lambda e: e < F.col("idx")))
+    return rows.select("book", "chapter", "idx", "words", before.alias("chunk"))
+
+
 def blocks(paragraphs: DataFrame, chunks: DataFrame) -> DataFrame:
     """book, order_number, title, chapter, chapter_title, start_paragraph, end_paragraph, source_text, token_count."""
     rows = paragraphs.join(chunks.select("book", "chapter", "idx", "chunk"), ["book", "chapter", "idx"])

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions import jsonx as J
 from folioscope.functions import text as T
+from folioscope.tables import cut
 
 # Fixed values.
 TOPIC_STOP_WORDS = ["книга", "автор", "глава", "тема", "раздел", "пример", "задача", "текст", "данный", "этот", "такой", "вопрос"]
 DEFAULT_SECTION, DEFAULT_THEME, DEFAULT_SUMMARY = "Основной раздел", "Тема", "Ключевая смысловая часть главы."
 SUBTOPIC_SUMMARY = "Ключевая подтема этого смыслового фрагмента."
+MAIN_THEME, MAIN_SUMMARY = "Основная тема", "Ключевая тема главы."
 
 
 def chapter_runs(blocks: DataFrame) -> DataFrame:
@@ -39,11 +42,16 @@ def theme_segments(blocks: DataFrame) -> DataFrame:
 
     blocks holds short_summary besides what segment.blocks gives.
     """
-    rows = chapter_runs(blocks).withColumn("part", even_part(F.col("local"), F.col("run_size"), theme_count(F.col("run_size"))))
+    return _segments(chapter_runs(blocks)).drop("start", "end")
+
+
+def _segments(runs: DataFrame) -> DataFrame:
+    """theme_segments() of chapter_runs(), with the places in the run that each begins and ends at."""
+    rows = runs.withColumn("part", even_part(F.col("local"), F.col("run_size"), theme_count(F.col("run_size"))))
     both = F.array_sort(F.collect_list(F.when(F.col("k") <= 2, F.struct("order_number", "short_summary", F.left("source_text", F.lit(350)).alias("head")))))
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("book", "run", "part").orderBy("order_number")))
     out = rows.groupBy("book", "run", "part").agg(
-        F.first("chapter_title").alias("chapter_title"), F.min("order_number").alias("start_block"), F.max("order_number").alias("end_block"),
+        F.first("chapter_title").alias("chapter_title"), F.min("order_number").alias("start_block"), F.max("order_number").alias("end_block"), F.min("local").alias("start"), F.max("local").alias("end"),
         F.min("start_paragraph").alias("start_paragraph"), F.max("end_paragraph").alias("end_paragraph"), both.alias("two"),
     )
     summaries = T.normal_spaces(F.array_join(F.filter(F.transform("two", lambda x: x["short_summary"]), lambda s: s != ""), " "))
@@ -51,7 +59,7 @@ def theme_segments(blocks: DataFrame) -> DataFrame:
     summary = F.coalesce(F.nullif(summaries, F.lit("")), F.nullif(heads, F.lit("")), F.lit(DEFAULT_SUMMARY))
     title = F.format_string("%s — часть %d", T.or_default(F.col("chapter_title"), DEFAULT_THEME), "part")
     order = F.row_number().over(Window.partitionBy("book").orderBy("run", "part"))
-    return out.select("book", order.alias("theme"), "run", "part", title.alias("title"), "chapter_title", "start_block", "end_block", "start_paragraph", "end_paragraph", summary.alias("summary"))
+    return out.select("book", order.alias("theme"), "run", "part", title.alias("title"), "chapter_title", "start_block", "end_block", "start_paragraph", "end_paragraph", summary.alias("summary"), "start", "end")
 
 
 def theme_blocks(themes: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -59,16 +67,102 @@ def theme_blocks(themes: DataFrame, blocks: DataFrame) -> DataFrame:
     return themes.select("book", "theme", "start_block", "end_block").join(blocks, "book").where(F.col("order_number").between(F.col("start_block"), F.col("end_block")))
 
 
+def _evidence(rows: DataFrame, key: list[str], head: int, chars: int, limit: int) -> DataFrame:
+    """key..., evidence, spare, block and paragraph ranges of rows (blocks under a key).
+
+    evidence is each block's summary with the first `chars` characters of its text; spare is the first `limit`
+    digests, a digest being the summary or else the first `head` characters.
+    """
+    digest = F.trim(T.or_default(F.col("short_summary"), F.left("source_text", F.lit(head))))
+    said = T.normal_spaces(F.concat(F.coalesce("short_summary", F.lit("")), F.lit("\n"), F.left("source_text", F.lit(chars))))
+    listed = F.array_sort(F.collect_list(F.struct("order_number", digest.alias("d"), said.alias("e"))))
+    ranges = [F.min("order_number").alias("start_block"), F.max("order_number").alias("end_block"), F.min("start_paragraph").alias("start_paragraph"), F.max("end_paragraph").alias("end_paragraph")]
+    parts = F.filter(F.transform("x", lambda x: x["d"]), lambda d: d != "")
+    spare = F.left(F.array_join(F.slice(parts, 1, limit), " "), F.lit(1900)).alias("spare")
+    return rows.groupBy(*key).agg(listed.alias("x"), *ranges).withColumn("evidence", F.array_join(F.transform("x", lambda x: x["e"]), "\n\n")).withColumn("spare", spare).drop("x")
+
+
 def theme_summaries(themes: DataFrame, blocks: DataFrame) -> DataFrame:
     """book, theme, summary held against the blocks it stands for."""
-    rows = theme_blocks(themes, blocks)
-    digest = T.or_default(F.col("short_summary"), F.left("source_text", F.lit(240)))
-    evidence = F.concat_ws(" ", "short_summary", F.left("source_text", F.lit(1400)))
-    gathered = rows.groupBy("book", "theme").agg(F.array_sort(F.collect_list(F.struct("order_number", digest.alias("d"), evidence.alias("e")))).alias("x"))
-    parts = F.filter(F.transform("x", lambda x: F.trim(x["d"])), lambda d: d != "")
-    spare = F.left(F.array_join(F.slice(parts, 1, 3), " "), F.lit(1900))
-    full = F.array_join(F.transform("x", lambda x: x["e"]), "\n\n")
-    return gathered.select("book", "theme", full.alias("evidence"), spare.alias("spare")).join(themes.select("book", "theme", "summary"), ["book", "theme"]).select("book", "theme", T.grounded_summary(F.col("summary"), F.col("evidence"), F.col("spare")).alias("summary"))
+    key = ["book", "theme"]
+    rows = _evidence(theme_blocks(themes, blocks), key, 240, 1400, 3)
+    return rows.join(themes.select(*key, "summary"), key).select(*key, T.grounded_summary(F.col("summary"), F.col("evidence"), F.col("spare")).alias("summary"))
+
+
+def block_digests(runs: DataFrame, most: int = 260) -> DataFrame:
+    """book, run, local, line: what a model is told of each block."""
+    digest = F.left(T.normal_spaces(T.or_default(F.col("short_summary"), F.left("source_text", F.lit(240)))), F.lit(most))
+    return runs.select("book", "run", "local", F.format_string("[%d] p%d-%d: %s", "local", "start_paragraph", "end_paragraph", digest).alias("line"))
+
+
+def within_budget(lines: DataFrame, key: list[str], place: str, most: int = 6500) -> DataFrame:
+    """The first of lines(key..., place, line) that fit into `most` characters, one more counted for each line before."""
+    order = Window.partitionBy(*key).orderBy(place)
+    used = F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.length("line")
+    rows = lines.withColumn("_over", (used > most).cast("int"))
+    return rows.withColumn("_over", F.max("_over").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_over = 0").drop("_over")
+
+
+def _raw_themes(runs: DataFrame, replies: DataFrame | None) -> DataFrame:
+    """book, run, place, chapter_title, title, summary, start, end, subthemes: from replies, else even parts of a run."""
+    made = _segments(runs).select("book", "run", F.col("part").alias("place"), "chapter_title", "title", "summary", "start", "end")
+    if replies is None:
+        return made.withColumn("subthemes", F.lit(None))
+    sizes = runs.groupBy("book", "run").agg(F.first("chapter_title").alias("chapter_title"), F.first("run_size").cast("int").alias("n"))
+    told = replies.select("book", "run", J.lenient_json(F.col("reply")).alias("v")).join(sizes, ["book", "run"])
+    told = told.select("book", "run", "chapter_title", F.posexplode(J.reply_themes(F.col("v"), F.col("n"))).alias("k", "x"))
+    told = told.select("book", "run", (F.col("k") + 1).alias("place"), "chapter_title", "x.title", "x.summary", "x.start", "x.end", "x.subthemes")
+    return made.join(told.select("book", "run").distinct(), ["book", "run"], "left_anti").unionByName(told, allowMissingColumns=True)
+
+
+def theme_hierarchy(blocks: DataFrame, replies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Themes and subtopics of books' blocks; replies(book, run, reply) hold a model's answer for a run of a chapter.
+
+    themes: book, theme, chapter_title, title, summary, block and paragraph ranges. subtopics: book, theme, idx, name,
+    normalized_name, summary, source_quote, importance, block and paragraph ranges; at most four a theme. Summaries
+    are held against the blocks' text. Where a reply gives fewer than two subtopics, phrases of the text stand in.
+    """
+    key = ["book", "theme"]
+    runs = cut(chapter_runs(blocks))
+    raw = _raw_themes(runs, replies).withColumn("theme", F.row_number().over(Window.partitionBy("book").orderBy("run", "place")))
+    title = F.left(T.or_default(F.col("title"), F.format_string("%s — тема %d", "chapter_title", "place")), F.lit(512))
+    raw = cut(raw.withColumn("title", title))
+    own = raw.select(*key, "run", "start", "end").join(runs.drop("chapter_title"), ["book", "run"]).where(F.col("local").between(F.col("start"), F.col("end")))
+    gathered = _evidence(own, key, 240, 1400, 3).join(raw.select(*key, "run", "chapter_title", "title", "summary"), key)
+    summary = T.grounded_summary(F.col("summary"), F.col("evidence"), F.col("spare"))
+    themes = cut(gathered.select(*key, "run", "chapter_title", "title", summary.alias("summary"), "start_block", "end_block", "start_paragraph", "end_paragraph"))
+
+    texts = own.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("order_number", "source_text"))).alias("x"))
+    texts = texts.select(*key, F.array_join(F.transform("x", lambda x: x["source_text"]), "\n\n").alias("text"))
+    ranges = raw.select(*key, "run", F.col("start").alias("first"), F.col("end").alias("last"))
+    told = None
+    if replies is not None:
+        told = raw.select(*key, "run", F.col("start").alias("first"), F.col("end").alias("last"), F.posexplode("subthemes").alias("idx", "x")).where("x.name <> ''")
+        lo, hi = (F.when(F.col(f"x.{c}").rlike("^[0-9]+$"), F.col(f"x.{c}").try_cast("bigint")) for c in ("start", "end"))
+        lo = F.greatest(F.col("first"), F.least(F.coalesce(lo, F.col("first")), F.col("last")))
+        hi = F.greatest(F.col("first"), F.least(F.coalesce(hi, F.col("last")), F.col("last")))
+        told = told.withColumn("n", F.count("*").over(Window.partitionBy(*key))).where("n >= 2")
+        told = cut(told.select(*key, "run", "idx", "x.name", "x.summary", "x.quote", "x.importance", lo.alias("first"), F.greatest(lo, hi).alias("last")))
+        answered = raw.where("subthemes is not null").select(*key)
+        texts = texts.join(told.select(*key).distinct(), key, "left_anti")
+    named = cut(fallback_names(raw, texts))
+    # Names made for a theme of no reply are subthemes like any other if there are two; else they stay as they are.
+    many = named.groupBy(*key).agg((F.count("*") >= 2).alias("many"))
+    if replies is not None:
+        many = many.join(answered.withColumn("answered", F.lit(True)), key, "left").select(*key, (F.col("many") & F.col("answered").isNull()).alias("many"))
+    made = named.join(many, key).join(ranges, key)
+    held = made.where("many").select(*key, "run", "idx", "name", F.lit(SUBTOPIC_SUMMARY).alias("summary"), F.lit("").alias("quote"), "importance", F.col("first"), F.col("last"))
+    if told is not None:
+        held = held.unionByName(told)
+    rows = held.join(runs.drop("chapter_title"), ["book", "run"]).where(F.col("local").between(F.col("first"), F.col("last")))
+    proof = _evidence(rows, [*key, "idx"], 200, 1200, 2).join(held.select(*key, "idx", "name", "summary", "quote", "importance"), [*key, "idx"])
+    grounded = F.left(T.grounded_summary(F.col("summary"), F.col("evidence"), F.col("spare")), F.lit(1000))
+    quote = F.left(T.or_default(F.col("quote"), T.first_quote(F.col("evidence"))), F.lit(500))
+    bounds = ["start_block", "end_block", "start_paragraph", "end_paragraph"]
+    full = proof.select(*key, "idx", "name", grounded.alias("summary"), quote.alias("source_quote"), "importance", *bounds)
+    plain = made.where("not many").join(themes.select(*key, *bounds), key).select(*key, "idx", "name", F.lit(SUBTOPIC_SUMMARY).alias("summary"), F.lit("").alias("source_quote"), "importance", *bounds)
+    found = deduplicated_subtopics(full.unionByName(plain).withColumn("name", F.left("name", F.lit(255))).where(T.concept_name(F.col("name")) != ""))
+    return themes.drop("run"), found
 
 
 def _tokens(texts: DataFrame, key: list[str]) -> DataFrame:
@@ -100,10 +194,12 @@ def topic_nouns(texts: DataFrame, key: list[str], noun=T.plain_noun, most: int =
     return counts.withColumn("rank", rank).where(F.col("rank") <= most).select(*key, "rank", F.col("word").alias("noun"), "n")
 
 
-def fallback_subtopics(themes: DataFrame, texts: DataFrame, most: int = 4) -> DataFrame:
-    """book, theme, idx, name, normalized_name, importance: phrases, filled up with nouns in their chapter, else one main idea."""
+def fallback_names(themes: DataFrame, texts: DataFrame, most: int = 4) -> DataFrame:
+    """book, theme, idx, name, importance: phrases of texts(book, theme, text), filled up with nouns in their chapter, else one main idea."""
     key = ["book", "theme"]
+    texts = cut(texts)
     phrases = topic_ngrams(texts, key, most=most).select(*key, F.lit(0).alias("kind"), "rank", F.col("phrase").alias("name"))
+    themes = themes.join(texts.select(*key), key, "left_semi")
     nouns = topic_nouns(texts, key).join(themes.select(*key, "chapter_title"), key)
     named = F.when(F.coalesce(F.col("chapter_title"), F.lit("")) == "", F.col("noun")).otherwise(F.concat("noun", F.lit(" в контексте "), F.left("chapter_title", F.lit(40))))
     nouns = nouns.select(*key, F.lit(1).alias("kind"), "rank", named.alias("name"))
@@ -113,7 +209,7 @@ def fallback_subtopics(themes: DataFrame, texts: DataFrame, most: int = 4) -> Da
     rows = rows.withColumn("best", F.min("kind").over(Window.partitionBy(*key))).where((F.col("kind") < 2) | (F.col("best") == 2))
     rows = rows.withColumn("seen", F.row_number().over(Window.partitionBy(*key, "name").orderBy("kind", "rank"))).where("seen = 1")
     rows = rows.withColumn("idx", F.row_number().over(Window.partitionBy(*key).orderBy("kind", "rank"))).where(F.col("idx") <= most)
-    return deduplicated_subtopics(rows.select(*key, "idx", F.left("name", F.lit(255)).alias("name"), F.greatest(F.lit(0.2), 0.95 - F.col("idx") * 0.15).alias("importance")))
+    return rows.select(*key, "idx", F.left("name", F.lit(255)).alias("name"), F.greatest(F.lit(0.2), 0.95 - F.col("idx") * 0.15).alias("importance"))
 
 
 def deduplicated_subtopics(subtopics: DataFrame, most: int = 4) -> DataFrame:
@@ -125,8 +221,18 @@ def deduplicated_subtopics(subtopics: DataFrame, most: int = 4) -> DataFrame:
 
 def whole_book_themes(blocks: DataFrame, themes: DataFrame) -> DataFrame:
     """One theme from first to last block for every book that has blocks but no theme."""
-    ends = blocks.groupBy("book").agg(F.min("order_number").alias("start_block"), F.max("order_number").alias("end_block"), F.min("start_paragraph").alias("start_paragraph"), F.max("end_paragraph").alias("end_paragraph"))
-    return ends.join(themes.select("book").distinct(), "book", "left_anti").withColumn("theme", F.lit(1))
+    k = F.row_number().over(Window.partitionBy("book").orderBy("order_number"))
+    rows = blocks.join(themes.select("book").distinct(), "book", "left_anti").withColumn("k", k)
+    two = F.array_sort(F.collect_list(F.when((F.col("k") <= 2) & (F.coalesce(F.col("short_summary"), F.lit("")) != ""), F.struct("k", "short_summary"))))
+    ends = rows.groupBy("book").agg(
+        F.min("order_number").alias("start_block"), F.max("order_number").alias("end_block"), F.min("start_paragraph").alias("start_paragraph"), F.max("end_paragraph").alias("end_paragraph"),
+        F.max(F.when(F.col("k") == 1, F.coalesce("chapter_title", F.lit("")))).alias("own"), two.alias("two"),
+    )
+    summary = F.left(F.array_join(F.transform("two", lambda x: x["short_summary"]), " "), F.lit(2000))
+    return ends.select(
+        "book", F.lit(1).alias("theme"), T.or_default(F.col("own"), DEFAULT_SECTION).alias("chapter_title"), T.or_default(F.col("own"), MAIN_THEME).alias("title"),
+        "start_block", "end_block", "start_paragraph", "end_paragraph", T.or_default(summary, MAIN_SUMMARY).alias("summary"),
+    )
 
 
 def book_summary(summaries: DataFrame) -> DataFrame:

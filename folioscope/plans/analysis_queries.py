@@ -8,7 +8,7 @@ from folioscope.functions import text as T
 from folioscope.operators import concepts as C
 from folioscope.operators import themes as H
 from folioscope.plans.registry import query
-from folioscope.plans.text_queries import word_blocks
+from folioscope.plans.text_queries import PICK, PICKED, word_blocks
 from folioscope.plans.views import BLOCKS, WORD, table
 
 _RUNS = (
@@ -83,54 +83,97 @@ def topic_nouns(spark, sf_dir):
     return H.topic_nouns(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-@query()
+#: Subtopics of themes that no reply named: phrases and nouns of each theme's text, held against its blocks.
+SUBTOPICS = (
+    _SEGMENTS
+    + f""",
+tblock as (select t.book, t.theme, t.chapter_title, b.* exclude (book, chapter_title) from theme t join block b on t.book = b.book and b.order_number between t.start_block and t.end_block),
+ttext as (select book, theme, any_value(chapter_title) as chapter_title, string_agg(source_text, chr(10) || chr(10) order by order_number) as text, min(order_number) as start_block, max(order_number) as end_block, min(start_paragraph) as start_paragraph, max(end_paragraph) as end_paragraph,
+  trim(regexp_replace(string_agg(trim(regexp_replace(short_summary || chr(10) || left(source_text, 1200), '\\s+', ' ', 'g'), ' '), ' ' order by order_number), '\\s+', ' ', 'g'), ' ') as evidence from tblock group by book, theme),
+tdigest as (select book, theme, left(string_agg(trim(short_summary, ' '), ' ' order by order_number), 1900) as spare from (select *, row_number() over (partition by book, theme order by order_number) as k from tblock) where k <= 2 group by book, theme),
+tword as (select book, theme, list_transform(regexp_extract_all(text, '{WORD}'), lambda w: lower(w)) as w from ttext),
+tgram as (select book, theme, i as pos, n as span, list_slice(w, i, i + n - 1) as g from tword, unnest(range(1, len(w) + 1)) as u(i), (values (2), (3)) v(n) where i + n - 1 <= len(w)),
+tphrase as (select book, theme, array_to_string(g, ' ') as name, count(*) as n, min(pos * 10 + span) as f from tgram where len(list_filter(g, lambda x: {_NOUN.format("x")})) = span group by 1, 2, 3),
+tnoun as (select book, theme, word, count(*) as n, min(pos) as f from (select book, theme, unnest(w) as word, generate_subscripts(w, 1) as pos from tword) where {_NOUN.format("word")} group by 1, 2, 3),
+tname as (select book, theme, 0 as kind, row_number() over (partition by book, theme order by n desc, f) as rank, name from tphrase union all
+  select book, theme, 1, rank, word || ' в контексте ' || left(chapter_title, 40) from (select *, row_number() over (partition by book, theme order by n desc, f) as rank from tnoun) join ttext using (book, theme) where rank <= 8 union all
+  select book, theme, 2, 1, 'Основные идеи: ' || chapter_title from ttext),
+tbest as (select *, min(kind) over (partition by book, theme) as best from tname where kind > 0 or rank <= 4),
+tseen as (select *, row_number() over (partition by book, theme, name order by kind, rank) as seen from tbest where kind < 2 or best = 2),
+tfour as (select *, row_number() over (partition by book, theme order by kind, rank) as idx from tseen where seen = 1),
+tmany as (select *, count(*) over (partition by book, theme) as many, array_to_string(list_filter(list_transform(regexp_extract_all(left(name, 255), '{WORD}'), lambda w: lower(w)), lambda w: not regexp_full_match(w, '[0-9]+')), ' ') as normalized_name from tfour where idx <= 4),
+subtopic as (select book, theme, cast(idx as integer) as idx, left(name, 255) as name, normalized_name, greatest(0.2, 0.95 - idx * 0.15) as importance,
+  case when many >= 2 then left(trim(regexp_replace(spare, '\\s+', ' ', 'g'), ' '), 1000) else 'Ключевая подтема этого смыслового фрагмента.' end as summary,
+  case when many >= 2 then left(case when length(head) < 20 then evidence else head end, 220) else '' end as source_quote, start_block, end_block, start_paragraph, end_paragraph
+  from (select *, string_split(regexp_replace(evidence, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1] as head from tmany join ttext using (book, theme) join tdigest using (book, theme)) where normalized_name <> ''
+  qualify row_number() over (partition by book, theme, normalized_name order by idx) = 1)"""
+)
+
+
+def hierarchy(spark, sf_dir):
+    return H.theme_hierarchy(word_blocks(spark, sf_dir))
+
+
+@query(f"""with recursive {SUBTOPICS} select book, theme, idx, name, normalized_name, summary, source_quote, cast(floor(importance * 100 + 0.5) as bigint) as importance_e2, start_block, end_block, start_paragraph, end_paragraph from subtopic""")
 def theme_subtopics(spark, sf_dir):
-    blocks = word_blocks(spark, sf_dir)
-    themes = H.theme_segments(blocks)
-    return H.fallback_subtopics(themes, H.theme_blocks(themes, blocks).select("book", "theme", F.col("source_text").alias("text")).groupBy("book", "theme").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n\n").alias("text")))
+    return hierarchy(spark, sf_dir)[1].withColumn("importance_e2", F.floor(F.col("importance") * 100 + 0.5).cast("long")).drop("importance")
+
 
+@query(f"""with recursive {SUBTOPICS} select t.book, t.theme, t.chapter_title, t.title, left(t.summary, 2000) as summary, t.start_block, t.end_block, x.start_paragraph, x.end_paragraph from theme t join ttext x using (book, theme)""")
+def theme_hierarchy(spark, sf_dir):
+    return hierarchy(spark, sf_dir)[0]
 
-@query("""with s as (select conv_id as book, role, turn, lower(left(text, 6)) as nm from conversations), n as (select book, turn, array_to_string(list_filter(regexp_extract_all(nm, '[A-Za-zА-Яа-яЁё0-9-]+'), lambda w: not regexp_full_match(w, '[0-9]+')), ' ') as normalized_name from s),
+
+@query(f"""with recursive {_RUNS}, d as (select book, run, local, '[' || cast(local as varchar) || '] p' || cast(start_paragraph as varchar) || '-' || cast(end_paragraph as varchar) || ': ' || left(trim(regexp_replace(short_summary, '\\s+', ' ', 'g'), ' '), 260) as line from run),
+u as (select *, coalesce(sum(length(line) + 1) over (partition by book order by run, local rows between unbounded preceding and 1 preceding), 0) + length(line) as used from d)
+select book, run, local, line from (select *, max(case when used > 6500 then 1 else 0 end) over (partition by book order by run, local rows between unbounded preceding and current row) as over_it from u) where over_it = 0""")
+def prompt_lines(spark, sf_dir):
+    """What of a book's blocks, chapter by chapter, fits into one prompt."""
+    digests = H.block_digests(H.chapter_runs(word_blocks(spark, sf_dir))).withColumn("place", F.struct("run", "local"))
+    return H.within_budget(digests, ["book"], "place").drop("place")
+
+
+@query("""with s as (select conv_id as book, role, turn, lower(text) as nm from conversations), n as (select book, turn, array_to_string(list_filter(regexp_extract_all(nm, '[A-Za-zА-Яа-яЁё0-9-]+'), lambda w: not regexp_full_match(w, '[0-9]+')), ' ') as normalized_name from s),
 d as (select book, normalized_name, min(turn) as idx from n group by 1, 2), r as (select *, row_number() over (partition by book order by idx) as k from d) select book, idx, normalized_name from r where k <= 4""")
 def subtopic_dedupe(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.lit(1).alias("theme"), F.col("turn").alias("idx"), F.col("text").alias("name"))
     return H.deduplicated_subtopics(rows).select("book", "idx", "normalized_name")
 
 
-@query("""select c.c_custkey as book, cast(null as integer) as start_block from customer c where false""")
+@query(f"""with recursive {BLOCKS}, r as (select *, row_number() over (partition by book order by order_number) as k from block where book in (select doc_id from documents where lang <> 'en'))
+select book, 1 as theme, max(case when k = 1 then chapter_title end) as chapter_title, max(case when k = 1 then chapter_title end) as title, min(order_number) as start_block, max(order_number) as end_block, min(start_paragraph) as start_paragraph, max(end_paragraph) as end_paragraph,
+left(string_agg(short_summary, ' ' order by order_number) filter (k <= 2), 2000) as summary from r group by book""")
 def whole_book_themes(spark, sf_dir):
-    """Every book of the test tables has themes, so none is made up."""
+    """Themes are known of the English books only, so the others get one each."""
     blocks = word_blocks(spark, sf_dir)
-    return H.whole_book_themes(blocks, H.theme_segments(blocks)).select(F.col("book"), "start_block")
+    known = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("book"))
+    return H.whole_book_themes(blocks, known)
 
 
 @query(f"""with t as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from ({_LOW})), c as (select doc_id, word, count(*) as freq, min(pos) as f from t where {_NOUN.format('word')} group by 1, 2),
-r as (select *, cast(row_number() over (partition by doc_id order by freq desc, f) as integer) as rank, max(freq) over (partition by doc_id) as top from c)
-select doc_id, rank, word as name, freq, cast(floor(greatest(0.1, cast(freq as double) / top) * 100 + 0.5) as bigint) as share_e2 from r where rank <= 7""")
+r as (select *, cast(row_number() over (partition by doc_id order by freq desc, f) as integer) as rank, max(freq) over (partition by doc_id) as top from c),
+q as (select doc_id, left({PICK.format('text', 1)}, 300) as source_quote from (select doc_id, text, {PICKED.format('text')} from documents))
+select doc_id, rank, word as name, freq, cast(floor(greatest(0.1, least(1.0, cast(freq as double) / top)) * (1 - rank * 0.03) * 1000 + 0.5) as bigint) as importance_e3, source_quote from r join q using (doc_id) where rank <= 7""")
 def freq_concepts(spark, sf_dir):
     rows = C.frequent_concepts(table(spark, sf_dir, "documents"), ["doc_id"])
-    top = F.floor(F.greatest(F.lit(0.1), F.col("freq") / F.max("freq").over(_by("doc_id"))) * 100 + 0.5)
-    return rows.select("doc_id", "rank", "name", "freq", top.cast("long").alias("share_e2"))
-
+    return rows.withColumn("importance_e3", F.floor(F.col("importance") * 1000 + 0.5).cast("long")).drop("importance")
 
-def _by(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)
 
-
-@query("""with i as (select user_id, event_id as seq, event_type || ' ' || cast(event_id % 7 as varchar) as name, greatest(0.0, least(1.0, value / 50)) as score from events),
-d as (select *, row_number() over (partition by user_id, lower(name) order by seq) as k from i), r as (select *, cast(row_number() over (partition by user_id order by score desc, seq) as integer) as rank from d where k = 1)
-select user_id, rank, name from r where rank <= 10""")
+@query("""with i as (select user_id, event_id as seq, case when event_id % 11 = 0 then '漢' else '' end || event_type || ' ' || cast(event_id % 7 as varchar) as name, ['ru', 'en', 'auto'][cast(event_id % 3 + 1 as integer)] as hint,
+  case when event_id % 13 = 0 then '漢' else 'says ' || event_type end as said, greatest(0.0, least(1.0, value / 50)) as score from events),
+d as (select *, row_number() over (partition by user_id, lower(name) order by seq) as k from i where hint = 'auto' or not contains(name, '漢')), r as (select *, cast(row_number() over (partition by user_id order by score desc, seq) as integer) as rank from d where k = 1)
+select user_id, rank, name, case when hint <> 'auto' and contains(said, '漢') then '' else said end as short_explanation from r where rank <= 10""")
 def clean_concepts(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    name = F.concat("event_type", F.lit(" "), (F.col("event_id") % 7).cast("string"))
-    rows = e.select("user_id", F.col("event_id").alias("seq"), name.alias("name"), F.lit("").alias("short_explanation"), F.lit("").alias("source_quote"), (F.col("value") / 50).cast("string").alias("importance_score"), F.lit("en").alias("hint"))
-    return C.clean_concepts(rows, ["user_id"]).select("user_id", "rank", "name")
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    name = F.concat(F.when(k % 11 == 0, "漢").otherwise(""), "event_type", F.lit(" "), (k % 7).cast("string"))
+    said = F.when(k % 13 == 0, "漢").otherwise(F.concat(F.lit("says "), "event_type"))
+    hint = F.element_at(F.array(F.lit("ru"), F.lit("en"), F.lit("auto")), (k % 3 + 1).cast("int"))
+    rows = e.select("user_id", k.alias("seq"), name.alias("name"), said.alias("short_explanation"), F.lit("").alias("source_quote"), (F.col("value") / 50).cast("string").alias("importance_score"), hint.alias("hint"))
+    return C.clean_concepts(rows, ["user_id"]).select("user_id", "rank", "name", "short_explanation")
 
 
-@query("""with f as (select o_custkey as user_id, cast(row_number() over (partition by o_custkey order by o_orderkey) as integer) as rank, 'c' || cast(o_orderkey % 5 as varchar) as name from orders where o_orderkey % 9 = 0),
-g as (select user_id, rank, name from f where rank <= 2), s as (select c_custkey as user_id, i as rank, 'C' || cast(i as varchar) as name from customer, unnest(range(1, 5)) as u(i)),
+@query("""with f as (select o_custkey as user_id, cast(row_number() over (partition by o_custkey order by o_orderkey) as integer) as rank, 'c' || cast(o_orderkey % 5 as varchar) as name from orders),
+g as (select user_id, rank, name from f), s as (select c_custkey as user_id, i as rank, 'C' || cast(i as varchar) as name from customer, unnest(range(1, 5)) as u(i)),
 e as (select s.* from s where not exists (select 1 from g where g.user_id = s.user_id and lower(g.name) = lower(s.name))),
 a as (select user_id, 0 as kind, rank, name from g union all select user_id, 1, rank, name from e), k as (select *, cast(row_number() over (partition by user_id order by kind, rank) as integer) as k from a)
 select user_id, k as rank, name, cast(kind as integer) as kind from k where (kind = 0 or k <= 3) and k <= 10""")
@@ -143,24 +186,29 @@ def topup_concepts(spark, sf_dir):
     return C.topped_up(found, spare, ["user_id"])
 
 
-@query(f"""with s as (select doc_id, unnest(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) as sentence, generate_subscripts(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) - 1 as seq from documents),
+_DEFINED = f"""s as (select doc_id, unnest(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) as sentence, generate_subscripts(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) - 1 as seq from documents),
 m as (select doc_id, seq, sentence, array_to_string(list_slice(regexp_extract_all(regexp_extract(sentence, '^([^.!?]{{1,120}}?)\\s+(?:is|est|ist|es)\\s+(.+)$', 1), '{WORD}'), 1, 4), ' ') as term from s where regexp_matches(sentence, '^([^.!?]{{1,120}}?)\\s+(?:is|est|ist|es)\\s+(.+)$')),
 v as (select *, list_transform(regexp_extract_all(term, '{WORD}'), lambda w: lower(w)) as w from m where length(term) >= 2),
 o as (select *, array_to_string(w, ' ') as normalized_term from v where len(w) between 1 and 4 and len(list_filter(w, lambda x: {_NOUN.format('x')})) > 0),
-r as (select *, row_number() over (partition by doc_id, normalized_term order by length(sentence) desc, seq) as k from o) select doc_id, normalized_term, sentence as definition, cast(seq as bigint) as seq from r where k = 1""")
-def definition_terms(spark, sf_dir):
+r as (select *, row_number() over (partition by doc_id, normalized_term order by length(sentence) desc, seq) as k from o)"""
+
+
+def _defined(docs):
     """With a copula of the test tables' languages in place of the Russian patterns, which their own tests cover."""
-    found = C.definition_terms(table(spark, sf_dir, "documents"), ["doc_id"], [(r"^([^.!?]{1,120}?)\s+(?:is|est|ist|es)\s+(.+)$", 1)])
-    return found.select("doc_id", "normalized_term", "definition", F.col("seq").cast("long").alias("seq"))
+    return C.definition_terms(docs, ["doc_id"], [(r"^([^.!?]{1,120}?)\s+(?:is|est|ist|es)\s+(.+)$", 1)])
+
+
+@query(f"with {_DEFINED} select doc_id, normalized_term, sentence as definition, cast(seq as bigint) as seq from r where k = 1")
+def definition_terms(spark, sf_dir):
+    return _defined(table(spark, sf_dir, "documents")).select("doc_id", "normalized_term", "definition", F.col("seq").cast("long").alias("seq"))
 
 
-@query(f"""with c as (select doc_id, w, count(*) as n from (select doc_id, unnest(list_transform(regexp_extract_all(text, '{WORD}'), lambda w: lower(w))) as w from documents) where not regexp_full_match(w, '[0-9]+') group by 1, 2),
-t as (select doc_id, array_to_string(list_transform(list_slice(regexp_extract_all(text, '{WORD}'), 2, 4), lambda w: lower(w)), ' ') as term from documents)
-select t.doc_id, term as normalized_term, greatest(1, min(coalesce(n, 1))) as frequency from (select doc_id, term, unnest(string_split(term, ' ')) as w from t) t left join c using (doc_id, w) group by 1, 2""")
+@query(f"""with {_DEFINED}, c as (select doc_id, w, count(*) as n from (select doc_id, unnest(list_transform(regexp_extract_all(text, '{WORD}'), lambda w: lower(w))) as w from documents) where not regexp_full_match(w, '[0-9]+') group by 1, 2)
+select t.doc_id, normalized_term, greatest(1, min(coalesce(n, 1))) as frequency from (select doc_id, normalized_term, unnest(string_split(normalized_term, ' ')) as w from r where k = 1) t left join c using (doc_id, w) group by 1, 2""")
 def term_frequency(spark, sf_dir):
+    """How often the words of the terms that a document defines stand in it."""
     docs = table(spark, sf_dir, "documents")
-    terms = docs.select("doc_id", F.array_join(F.slice(T.lower_words(F.col("text")), 2, 3), " ").alias("normalized_term"))
-    return C.term_frequency(terms, C.lemma_counts(docs, ["doc_id"]), ["doc_id"])
+    return C.term_frequency(_defined(docs).select("doc_id", "normalized_term"), C.lemma_counts(docs, ["doc_id"]), ["doc_id"])
 
 
 @query("""select min(p_partkey) as concept, lower(p_name) as normalized_name, count(*) as n from part group by 2""")
@@ -182,3 +230,25 @@ r as (select *, row_number() over (partition by concept, block order by seq desc
 def mention_upsert(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.col("l_partkey").alias("concept"), (F.col("l_orderkey") % 64).alias("block"))
     return C.last_mentions(rows).select("concept", "block", "seq", "writes")
+
+
+_WRITES = """w as (select event_id as seq, event_type as name, case when event_id % 4 = 1 then props else '' end as summary, user_id as book, event_id % 50 as block, least(1.0, greatest(0.0, value / 50)) as importance from events),
+c as (select name, min(seq) as concept from w group by 1)"""
+
+
+def _writes(spark, sf_dir):
+    """Types of events as names: no two are alike, so each is a concept of its own."""
+    e = table(spark, sf_dir, "events")
+    summary = F.when(F.col("event_id") % 4 == 1, F.col("props")).otherwise(F.lit(""))
+    return e.select(F.col("event_id").alias("seq"), F.col("event_type").alias("name"), summary.alias("summary"), F.col("user_id").alias("book"), (F.col("event_id") % 50).alias("block"), F.lit("q").alias("quote"), (F.col("value") / 50).alias("importance"))
+
+
+@query(f"with {_WRITES} select concept, any_value(c.name) as name, any_value(c.name) as normalized_name, coalesce(arg_min(summary, seq) filter (summary <> ''), '') as description from w join c using (name) group by concept")
+def written_concepts(spark, sf_dir):
+    return C.written(_writes(spark, sf_dir))[0]
+
+
+@query(f"with {_WRITES} select concept, block, max(seq) as seq, arg_max(book, seq) as book, arg_max(summary, seq) as explanation, cast(floor(arg_max(importance, seq) * 1e6 + 0.5) as bigint) as importance_e6 from w join c using (name) group by concept, block")
+def written_mentions(spark, sf_dir):
+    rows = C.written(_writes(spark, sf_dir))[1]
+    return rows.select("concept", "block", "seq", "book", "explanation", F.floor(F.col("importance") * 1e6 + 0.5).cast("long").alias("importance_e6"))

@@ -41,14 +41,14 @@ def sentence_split(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(s).cast("long").alias("n"), s[0].alias("first"))
 
 
-_PICK = r"""coalesce(nullif(trim(array_to_string(list_slice(case when len(whole) > 0 then whole else pieces end, 1, {1}), ' '), ' '), ''), trim(left({0}, 500), ' '))"""
-_PICKED = (
+PICK = r"""coalesce(nullif(trim(array_to_string(list_slice(case when len(whole) > 0 then whole else pieces end, 1, {1}), ' '), ' '), ''), trim(left({0}, 500), ' '))"""
+PICKED = (
     "list_filter(list_transform(" + _SENTENCES + ", lambda s: trim(s, ' ')), lambda s: length(s) >= 35) as whole, "
     "list_filter(list_transform(string_split(regexp_replace({0}, '[.!?]+', chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: length(s) >= 35) as pieces"
 )
 
 
-@query(f"select doc_id, {_PICK.format('text', 3)} as summary from (select doc_id, text, {_PICKED.format('text')} from documents)")
+@query(f"select doc_id, {PICK.format('text', 3)} as summary from (select doc_id, text, {PICKED.format('text')} from documents)")
 def fallback_summary(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.fallback_sentences(F.col("text")).alias("summary"))
 
@@ -70,7 +70,7 @@ def strip_tags(spark, sf_dir):
 
 
 @query(r"""select doc_id, case when length(v) = 0 then false when regexp_matches(v, '[\x{4E00}-\x{9FFF}]') then false
-when doc_id % 2 = 0 then regexp_matches(v, '[А-Яа-яЁёA-Za-z]') or regexp_matches(v, '^[A-Z0-9-]{2,8}$') else true end as fits from (select doc_id, trim(left(text, 40), ' ') as v from documents)""")
+when doc_id % 2 = 0 then regexp_matches(v, '[А-Яа-яЁёA-Za-z]') or regexp_matches(v, '^[A-Z0-9-]{2,8}$') else true end as fits from (select doc_id, trim(text, ' ') as v from documents)""")
 def lang_compat(spark, sf_dir):
     hint = F.when(F.col("doc_id") % 2 == 0, "ru").otherwise("en")
     return _docs(spark, sf_dir).select("doc_id", T.language_fits(F.col("text"), hint).alias("fits"))
@@ -79,15 +79,16 @@ def lang_compat(spark, sf_dir):
 _NAME = f"array_to_string(list_filter(list_transform(regexp_extract_all({{0}}, '{WORD}'), lambda w: lower(w)), lambda w: not regexp_full_match(w, '[0-9]+')), ' ')"
 
 
-@query(f"select doc_id, {_NAME.format('left(text, 60)')} as name from documents")
+@query(f"select doc_id, {_NAME.format('text')} as name from documents")
 def concept_normalize(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.concept_name(F.col("text")).alias("name"))
 
 
-@query(f"""select doc_id, n = '' or length(n) < 2 or len(string_split(n, ' ')) > 7 or (len(string_split(n, ' ')) = 1 and n in ('текст','книга','глава','раздел','пример','задача','тема','автор')) or regexp_full_match(n, '[0-9]+') as bad
-from (select doc_id, {_NAME.format('left(text, cast(doc_id % 60 as integer))')} as n from documents)""")
+@query(f"""select conv_id, turn, n = '' or length(n) < 2 or len(string_split(n, ' ')) > 7 or (len(string_split(n, ' ')) = 1 and n in ('текст','книга','глава','раздел','пример','задача','тема','автор')) or regexp_full_match(n, '[0-9]+') as bad
+from (select conv_id, turn, {_NAME.format('text')} as n from conversations)""")
 def bad_concept(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.bad_concept(F.expr("left(text, cast(doc_id % 60 as int))")).alias("bad"))
+    """Turns of conversations as names: some are a few words long."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.bad_concept(F.col("text")).alias("bad"))
 
 
 @query(f"""select page_id, array_to_string(list_slice(regexp_extract_all({_SPACES.format('h')}, '{WORD}'), 1, 4), ' ') as term from (select page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') as h from pages)""")
@@ -107,15 +108,17 @@ def content_tokens(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(t).cast("long").alias("n"), F.array_join(F.array_sort(t), " ").alias("tokens"))
 
 
-@query(f"""select doc_id, case when len(a) > 0 and len(b) > 0 then cast(floor(len(list_intersect(a, b)) * 10000 / len(a)) as bigint) else 0 end as overlap_e4
-from (select doc_id, {_TOKENS.format('left(text, 300)')} as a, {_TOKENS.format('right(text, 600)')} as b from documents)""")
+@query(f"""with t as (select doc_id, {_TOKENS.format('text')} as a from documents)
+select t.doc_id, case when len(t.a) > 0 and len(u.a) > 0 then cast(floor(len(list_intersect(t.a, u.a)) * 10000 / len(t.a)) as bigint) else 0 end as overlap_e4 from t join t u on u.doc_id = t.doc_id + 1""")
 def grounding_overlap(spark, sf_dir):
-    a, b = T.content_tokens(F.left("text", F.lit(300))), T.content_tokens(F.right("text", F.lit(600)))
-    score = F.when((F.size(a) > 0) & (F.size(b) > 0), F.floor(F.size(F.array_intersect(a, b)).cast("long") * 10000 / F.size(a))).otherwise(0)
-    return _docs(spark, sf_dir).select("doc_id", score.cast("long").alias("overlap_e4"))
+    """Each document as a summary of the one after it."""
+    rows = _docs(spark, sf_dir).select("doc_id", T.content_tokens(F.col("text")).alias("a"))
+    rows = rows.join(rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+    score = F.when((F.size("a") > 0) & (F.size("b") > 0), F.floor(F.size(F.array_intersect("a", "b")).cast("long") * 10000 / F.size("a"))).otherwise(0)
+    return rows.select("doc_id", score.cast("long").alias("overlap_e4"))
 
 
-@query("""with s as (select doc_id, case doc_id % 4 when 0 then 'This section discusses ' || left(text, 20) when 1 then 'This chapter discusses and this block discusses ' || left(text, 60) when 2 then 'Main meaning: ' || left(text, 90) else left(text, 90) end as v from documents),
+@query("""with s as (select doc_id, case doc_id % 4 when 0 then 'This section discusses ' || text when 1 then 'This chapter discusses and this block discusses ' || text when 2 then 'Main meaning: ' || text else text end as v from documents),
 hit as (select doc_id, v, cast(contains(lower(v), 'this section discusses') as integer) + cast(contains(lower(v), 'this chapter discusses') as integer) + cast(contains(lower(v), 'this block discusses') as integer) + cast(contains(lower(v), 'the main idea is') as integer) + cast(contains(lower(v), 'this material describes') as integer) as en from s)
 select doc_id, contains(lower(v), 'main meaning') or en >= 2 or (length(v) < 65 and en >= 1) as generic from hit""")
 def generic_summary(spark, sf_dir):
@@ -160,10 +163,10 @@ def json_key_items(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.size(J.items(J.lenient_json(reply))), F.lit(0)).cast("long").alias("n"))
 
 
-@query()
+@query("""select event_id, 2 as n, props as first from events""")
 def json_salvage(spark, sf_dir):
     reply = F.concat(F.lit('{"concepts": ['), F.col("props"), F.lit(", "), F.col("props"), F.lit(', {"name": "bro'))
-    return table(spark, sf_dir, "events").select("event_id", J.salvaged(reply).alias("objects")).select("event_id", F.size("objects").cast("long").alias("n"), F.col("objects")[0].alias("first"))
+    return table(spark, sf_dir, "events").select("event_id", J.salvaged(reply).alias("objects")).select("event_id", F.size("objects").alias("n"), F.col("objects")[0].alias("first"))
 
 
 @query("""select o_orderkey, array_to_string(list_sort(list_distinct(list_append(list_filter(list(cast(l_quantity as integer)), lambda v: v between 1 and 20), 20))), ',') as boundaries from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey""")
@@ -173,14 +176,14 @@ def boundary_clean(spark, sf_dir):
     return raw.join(orders, "o_orderkey").select("o_orderkey", F.array_join(J.clean_boundaries(F.col("v"), F.lit(20)), ",").alias("boundaries"))
 
 
-_SLOTS = f"""
+SLOTS = f"""
 word as (select doc_id, w, count(*) as c from (select doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) as w from {{0}}) group by doc_id, w),
 code as (select w, sha256(w) as h from (select distinct w from word)),
 byte as (select w, i, cast(('0x' || substr(h, cast(2 * i + 1 as integer), 2)) as bigint) as b from code, unnest(range(16)) as u(i)),
 slot as (select doc_id, (11 * i + b) % 128 as slot, cast(sum(c * b) as bigint) as v from word join byte using (w) group by 1, 2)"""
 
 
-@query(f"""with head as (select doc_id, left(text, 2200) as text from documents), {_SLOTS.format('head')}
+@query(f"""with {SLOTS.format('documents')}
 select doc_id, cast(slot as bigint) as slot, cast(floor(v / sqrt(sum(v * v) over (partition by doc_id)) * 1e6 + 0.5) as bigint) as v_e6 from slot where v > 0""")
 def hash_embedding(spark, sf_dir):
     rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(V.hash_embedding("text")).alias("slot", "v"))
@@ -263,11 +266,54 @@ def chunks_valid(spark, sf_dir):
     return S.valid_chapters(merged, LEAST, MOST)
 
 
-@query()
+#: The whole rule: word counts for the first eight chapters of 6 to 80 paragraphs, wide chunks cut again by scores; scores for the rest.
+_LOGICAL = (
+    _GREEDY
+    + CHUNKS[len(PARAGRAPHS) :]
+    + f""",
+picked as (select book, chapter from (select book, chapter, row_number() over (partition by book order by chapter) as k from (select book, chapter, count(*) as n from para group by 1, 2) where n between 6 and 80) where k <= 8),
+wide as (select c.*, sum(words) over (partition by book, chapter, chunk) as cw, row_number() over (partition by book, chapter, chunk order by idx) as li from chunk c join picked using (book, chapter)),
+again as (select w.book, w.chapter, w.chunk, w.li, w.idx, w.words, s.score from wide w join scored s using (book, chapter, idx) where w.cw > {MOST}),
+afold as (select book, chapter, chunk, li, idx, words, words as acc, 0 as raw from again where li = 1 union all
+  select s.book, s.chapter, s.chunk, s.li, s.idx, s.words, case when cut then s.words else acc + s.words end, raw + case when cut then 1 else 0 end
+  from (select p.*, f.acc, f.raw, (f.acc >= {LEAST} and p.score >= 0.34) or (f.acc >= {TARGET} and p.score >= 0.25) or f.acc + p.words > {MOST} as cut
+        from afold f join again p on p.book = f.book and p.chapter = f.chapter and p.chunk = f.chunk and p.li = f.li + 1) s),
+asized as (select *, sum(words) over (partition by book, chapter, chunk, raw) as sw, row_number() over (partition by book, chapter, chunk, raw order by idx) as k from afold),
+asub as (select book, chapter, idx, words, chunk, sum(case when k = 1 and (raw = 0 or sw >= {max(80, LEAST // 2)}) then 1 else 0 end) over (partition by book, chapter, chunk order by idx) - 1 as sub from asized),
+dense as (select *, dense_rank() over (partition by book, chapter order by chunk, sub) - 1 as raw from (select book, chapter, idx, words, chunk, 0 as sub from wide where cw <= {MOST} union all select book, chapter, idx, words, chunk, sub from asub)),
+dsized as (select *, sum(words) over (partition by book, chapter, raw) as sw, row_number() over (partition by book, chapter, raw order by idx) as k from dense),
+bywords as (select book, chapter, idx, words, sum(case when k = 1 and (raw = 0 or sw >= {max(40, LEAST // 2)}) then 1 else 0 end) over (partition by book, chapter order by idx) - 1 as chunk from dsized),
+good as (select book, chapter from (select book, chapter, chunk, sum(words) as w from bywords group by 1, 2, 3) group by 1, 2 having count(*) filter (w > {int(MOST * 1.4)}) = 0 and count(*) filter (w < {max(35, int(LEAST * 0.4))}) <= greatest(1, count(*) // 2)),
+lchunk as (select book, chapter, idx, chunk from bywords semi join good using (book, chapter) union all select book, chapter, idx, chunk from gchunk anti join good using (book, chapter)),
+lblock as (select book, chapter, chunk, any_value(chapter_title) as chapter_title, min(number) as start_paragraph, max(number) as end_paragraph, string_agg(text, chr(10) || chr(10) order by number) as source_text
+  from para join lchunk using (book, chapter, idx) group by book, chapter, chunk)"""
+)
+
+
+@query(f"""with recursive {_LOGICAL} select book, cast(row_number() over (partition by book order by start_paragraph) as integer) as order_number,
+case when count(*) over (partition by book, chapter) > 1 then chapter_title || ' — блок ' || cast(row_number() over (partition by book, chapter order by chunk) as varchar) else chapter_title end as title,
+chapter, chapter_title, start_paragraph, end_paragraph, source_text, cast(len(regexp_extract_all(source_text, '{WORD}')) as bigint) as token_count from lblock""")
 def logical_blocks(spark, sf_dir):
     return S.logical_blocks(lines(spark, sf_dir), LEAST, TARGET, MOST)
 
 
+@query(f"""with {PARAGRAPHS}, cuts as (select book, chapter, list_sort(list_distinct(list_append(list_filter([3, 7, max(idx) // 2, max(idx) + 4], lambda e: e between 1 and max(idx)), max(idx)))) as ends from para group by 1, 2)
+select book, chapter, idx, cast(len(list_filter(ends, lambda e: e < idx)) as integer) as chunk from para join cuts using (book, chapter)""")
+def chunks_at_boundaries(spark, sf_dir):
+    """Chapters cut after the third and seventh paragraph and the middle; the names of places that there aren't are left out."""
+    paragraphs = S.kept_paragraphs(lines(spark, sf_dir))
+    n = F.max("idx").alias("n")
+    cuts = paragraphs.groupBy("book", "chapter").agg(n).select("book", "chapter", F.array(F.lit("7"), F.lit("3"), F.floor(F.col("n") / 2).cast("string"), (F.col("n") + 4).cast("string"), F.lit("x")).alias("after"))
+    return S.split_at(paragraphs, cuts).select("book", "chapter", "idx", "chunk")
+
+
+@query(f"""with {PARAGRAPHS}, t as (select book, chapter, cast(sum(words) as bigint) as total from para group by 1, 2)
+select book, chapter, total, cast(greatest(greatest(1, ceil(total / {MOST}.0)), least(greatest(1, ceil(total / {LEAST}.0)), greatest(1, round_even(total / {TARGET}.0, 0)))) as bigint) as desired from t""")
+def prompt_targets(spark, sf_dir):
+    totals = S.kept_paragraphs(lines(spark, sf_dir)).groupBy("book", "chapter").agg(F.sum("words").alias("total"))
+    return totals.withColumn("desired", T.prompt_targets(F.col("total"), LEAST, TARGET, MOST))
+
+
 def word_blocks(spark, sf_dir):
     """Blocks by word counts alone, with summaries."""
     paragraphs = S.kept_paragraphs(lines(spark, sf_dir))
@@ -294,3 +340,23 @@ def book_summary(spark, sf_dir):
 def scalar_defaults(spark, sf_dir):
     yes = T.truthy(F.when(F.col("event_type").isin("view", "click"), F.lit(" Yes ")).otherwise(F.lit("off")))
     return table(spark, sf_dir, "events").select("event_id", yes.alias("yes"), F.floor(T.unit_score((F.col("value") / 100).cast("string"), 0.5) * 1e6).cast("long").alias("score_e6"))
+
+
+@query("""with r as (select event_id, 1 + event_id % 9 as n, cast(trunc(value) as integer) % 12 - 1 as a, event_id % 13 as b from events),
+f as (select *, least(greatest(a, 1), n) as first from r),
+t as (select event_id, 0 as src, first as start, case when event_id % 4 = 1 then first else greatest(first, least(b, n)) end as "end", case when event_id % 5 = 2 then '' else 'A title' end as title,
+  case when event_id % 6 = 0 then 0 when event_id % 6 = 1 then 60 else 100 end as importance_e2 from f union all select event_id, 1, 1, 1, '', 60 from r)
+select event_id, cast(row_number() over (partition by event_id order by start, "end", src) as integer) as place, cast(start as integer) as start, cast("end" as integer) as "end", title, cast(importance_e2 as bigint) as importance_e2 from t""")
+def reply_themes(spark, sf_dir):
+    """Replies with two themes, numbers as numbers or text, some fields missing, and something that is no theme."""
+    e = table(spark, sf_dir, "events")
+    a, b = F.col("value").cast("int") % 12 - 1, F.col("event_id") % 13
+    end = F.when(F.col("event_id") % 4 == 1, F.lit("")).otherwise(F.format_string(', "end_block": "%d"', b))
+    title = F.when(F.col("event_id") % 5 == 2, F.lit("")).otherwise(F.lit(', "title": " A   title "'))
+    sub = F.format_string('[{"name": "N", "importance_score": %s}, 4]', F.when(F.col("event_id") % 6 == 0, "-3").when(F.col("event_id") % 6 == 1, '"x"').otherwise("7"))
+    theme = F.concat(F.format_string('{"start_block": %d', a), end, title, F.lit(', "subthemes": '), sub, F.lit("}"))
+    listed = F.concat(F.lit("["), theme, F.lit(', "none", {"start_block": "1", "subthemes": [{}]}]'))
+    reply = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"themes": '), listed, F.lit("}"))).otherwise(listed)
+    rows = e.select("event_id", F.posexplode(J.reply_themes(J.lenient_json(reply), 1 + F.col("event_id") % 9)).alias("k", "x"))
+    score = F.floor(F.col("x.subthemes")[0]["importance"] * 100 + 0.5).cast("long")
+    return rows.select("event_id", (F.col("k") + 1).alias("place"), "x.start", "x.end", "x.title", score.alias("importance_e2"))

@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import page_paragraphs
+from folioscope.functions import text as T
 
 # Fixed values.
-NO_TITLE, NO_CHAPTER, MAIN_TEXT, PDF_AUTHOR = "Без названия", "Без названия главы", "Основной текст", "PDF document"
+NO_TITLE, NO_CHAPTER, MAIN_TEXT, PDF_TITLE = "Без названия", "Без названия главы", "Основной текст", "PDF document"
 BOOK = "path string, title string, authors string, chapters array<struct<chapter_title:string,paragraphs:array<string>>>, metadata map<string,string>, _error string"
 
 
@@ -34,24 +34,31 @@ def _direct(node: ET.Element, name: str) -> list[ET.Element]:
 
 
 def _paragraphs(node: ET.Element) -> list[str]:
-    """All <p> below node that don't stand right under a <title>, in document order."""
+    """All <p> below node that don't stand right under a <title>, in document order, however deep."""
     out: list[str] = []
-
-    def walk(parent: ET.Element) -> None:
-        for child in parent:
-            if _local(child.tag) == "p" and _local(parent.tag) != "title" and (t := _text(child)):
-                out.append(t)
-            walk(child)
-
-    walk(node)
+    open_nodes = [(node, iter(node))]
+    while open_nodes:
+        parent, children = open_nodes[-1]
+        child = next(children, None)
+        if child is None:
+            open_nodes.pop()
+            continue
+        if _local(child.tag) == "p" and _local(parent.tag) != "title" and (t := _text(child)):
+            out.append(t)
+        open_nodes.append((child, iter(child)))
     return out
 
 
 def _sections(node: ET.Element) -> list[dict]:
     """A section and the sections below it, parents first; a parent's paragraphs hold those of its children."""
-    title = " ".join(filter(None, (_text(p) for t in _direct(node, "title")[:1] for p in _direct(t, "p"))))
-    own = {"chapter_title": title or NO_CHAPTER, "paragraphs": _paragraphs(node)}
-    return ([own] if own["paragraphs"] else []) + [c for s in _direct(node, "section") for c in _sections(s)]
+    out, waiting = [], [node]
+    while waiting:
+        section = waiting.pop()
+        title = " ".join(filter(None, (_text(p) for t in _direct(section, "title")[:1] for p in _direct(t, "p"))))
+        if paragraphs := _paragraphs(section):
+            out.append({"chapter_title": title or NO_CHAPTER, "paragraphs": paragraphs})
+        waiting += reversed(_direct(section, "section"))
+    return out
 
 
 def parse_fb2(data: bytes) -> dict:
@@ -118,16 +125,18 @@ def parse_html(text: str) -> dict:
 
 
 def _parsed(files: DataFrame, parse) -> DataFrame:
-    """files(path, content) -> BOOK; a file that can't be parsed gives a row with _error."""
+    """files(path, content) -> BOOK; a file that can't be parsed, for whatever reason, gives a row with _error."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
+                    if content is None:
+                        raise ValueError("no content")
                     out.append({"path": path, **parse(content), "_error": None})
-                except (ET.ParseError, ValueError) as e:
-                    out.append({"path": path, "title": None, "authors": None, "chapters": [], "metadata": {}, "_error": str(e)[:2000]})
+                except Exception as e:
+                    out.append({"path": path, "title": None, "authors": None, "chapters": [], "metadata": {}, "_error": (str(e) or type(e).__name__)[:2000]})
             yield pd.DataFrame(out, columns=["path", "title", "authors", "chapters", "metadata", "_error"])
 
     return files.select("path", "content").mapInPandas(run, BOOK)
@@ -139,36 +148,71 @@ def fb2_books(files: DataFrame) -> DataFrame:
 
 def html_books(pages: DataFrame) -> DataFrame:
     """pages(path, content) with content as text."""
-    return _parsed(pages, lambda t: parse_html(t or ""))
+    return _parsed(pages.withColumn("content", F.coalesce("content", F.lit(""))), parse_html)
+
+
+def page_paragraphs(text: str | None) -> list[str]:
+    """Blank-line pieces of 20 characters or more, else sentences gathered to 240; functions.text has it as a Column."""
+    unix = (text or "").replace("\r\n", "\n").replace("\r", "\n")
+    pieces = [p for p in (" ".join(x.split()) for x in re.split(r"\n{2,}", unix)) if len(p) >= 20]
+    if pieces:
+        return pieces
+    out, held = [], ""
+    for sentence in re.split(r"(?<=[.!?])\s+", unix):
+        held = " ".join(filter(None, (held, " ".join(sentence.split()))))
+        if len(held) >= 240:
+            out.append(held)
+            held = ""
+    return [p for p in (*out, held) if len(p) >= 20]
+
+
+def parse_pages(title: str | None, authors: str | None, pages: list[str | None]) -> dict:
+    """A chapter for each page with text, under the page's own number."""
+    kept = [(i, p) for i, p in enumerate(map(page_paragraphs, pages), 1) if p]
+    if not kept:
+        raise ValueError("no text")
+    meta = {"source_format": "pdf", "pages_total": str(len(pages)), "pages_with_text": str(len(kept))}
+    chapters = [{"chapter_title": f"Page {i}", "paragraphs": p} for i, p in kept]
+    return {"title": " ".join((title or "").split()) or PDF_TITLE, "authors": " ".join((authors or "").split()), "chapters": chapters, "metadata": meta}
 
 
 def pdf_books(files: DataFrame, extract) -> DataFrame:
-    """extract(bytes) -> (title, author, [text of each page]); the library brings no PDF reader of its own."""
+    """extract(bytes) -> (title, authors, [text of each page, None where it can't be read]); the library brings no PDF reader of its own."""
+    return _parsed(files, lambda data: parse_pages(*extract(data)))
 
-    def parse(data: bytes) -> dict:
-        title, author, pages = extract(data)
-        chapters = [{"chapter_title": f"Page {i}", "paragraphs": [p for p in re.split(r"\n{2,}", t) if p.strip()]} for i, t in enumerate(pages, 1) if t and t.strip()]
-        if not chapters:
-            raise ValueError("no text")
-        meta = {"source_format": "pdf", "pages_total": str(len(pages)), "pages_with_text": str(len(chapters))}
-        return {"title": title or NO_TITLE, "authors": author or PDF_AUTHOR, "chapters": chapters, "metadata": meta}
 
-    return _parsed(files, parse)
-
-
-def page_texts(pages: DataFrame) -> DataFrame:
-    """pages(path, page_no, text), taken out of PDFs before -> path, page_no, chapter_title, paragraphs; empty pages go."""
-    rows = pages.select("path", "page_no", F.format_string("Page %d", "page_no").alias("chapter_title"), page_paragraphs(F.col("text")).alias("paragraphs"))
-    return rows.where(F.size("paragraphs") > 0)
+def page_books(files: DataFrame) -> DataFrame:
+    """files(path, title, authors, pages), page texts taken out of PDFs before, as books, without Python."""
+    numbered = F.transform(F.col("pages"), lambda t, i: F.struct(F.format_string("Page %d", i + 1).alias("chapter_title"), T.page_paragraphs(F.coalesce(t, F.lit(""))).alias("paragraphs")))
+    rows = files.withColumn("chapters", F.filter(numbered, lambda c: F.size(c["paragraphs"]) > 0))
+    some = F.coalesce(F.size("chapters"), F.lit(0)) > 0
+    meta = F.create_map(F.lit("source_format"), F.lit("pdf"), F.lit("pages_total"), F.size("pages").cast("string"), F.lit("pages_with_text"), F.size("chapters").cast("string"))
+    title, authors = (T.normal_spaces(F.coalesce(c, F.lit(""))) for c in ("title", "authors"))
+    return rows.select(
+        "path", F.when(some, T.or_default(title, PDF_TITLE)).alias("title"), F.when(some, authors).alias("authors"),
+        F.when(some, F.col("chapters")).otherwise(F.array().cast("array<struct<chapter_title:string,paragraphs:array<string>>>")).alias("chapters"),
+        F.when(some, meta).otherwise(F.create_map().cast("map<string,string>")).alias("metadata"), F.when(~some, "no text").alias("_error"),
+    )
 
 
 def read_books(spark: SparkSession, path: str, extract_pdf=None) -> DataFrame:
     """All supported files under path, by extension whatever its case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    out = fb2_books(files.where(extension(F.col("path")) == ".fb2"))
-    if extract_pdf is not None:
-        out = out.unionByName(pdf_books(files.where(extension(F.col("path")) == ".pdf"), extract_pdf))
-    return out
+    return dispatched(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), extract_pdf)
+
+
+def dispatched(files: DataFrame, extract_pdf=None) -> DataFrame:
+    """files(path, content) by extension; without extract_pdf PDFs are errors, and other files are left alone."""
+    kind = extension(F.col("path"))
+
+    def no_reader(_: bytes):
+        raise ValueError("no PDF reader")
+
+    return fb2_books(files.where(kind == ".fb2")).unionByName(pdf_books(files.where(kind == ".pdf"), extract_pdf or no_reader))
+
+
+def statuses(books: DataFrame) -> DataFrame:
+    """path, status (ready or failed), error_message of parsed books."""
+    return books.select("path", F.when(F.col("_error").isNull(), "ready").otherwise("failed").alias("status"), F.left(F.coalesce("_error", F.lit("")), F.lit(2000)).alias("error_message"))
 
 
 def lines(books: DataFrame) -> DataFrame:
