@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
 WORD = "[A-Za-zА-Яа-яЁё0-9-]+"
+#: Whole words of three characters or more that are no numbers.
+LONG_WORD = "(?<![A-Za-zА-Яа-яЁё0-9-])(?![0-9]+(?![A-Za-zА-Яа-яЁё0-9-]))[A-Za-zА-Яа-яЁё0-9-]{3,}"
 BAD_SINGLE_WORDS = ["текст", "книга", "глава", "раздел", "пример", "задача", "тема", "автор"]
 CONTENT_STOP_WORDS = ["книга", "автор", "текст", "пример", "задача", "глава", "раздел", "данный", "этот", "тема"]
 TERM_STOP_WORDS = ["это", "и", "в", "на", "к", "с", "по", "как", "под", "для", "или", "из", "о", "об", "а", "но", "то", "что"]
@@ -119,10 +121,14 @@ def plain_noun(word: Column) -> Column:
     return (F.length(word) > 3) & word.rlike("^[a-zа-яё]+$")
 
 
-def content_tokens(text: Column, lemma=lambda w: w) -> Column:
+def content_tokens(text: Column, lemma=None) -> Column:
+    """Different words of three characters or more, numbers and stop words aside, in lower case and by `lemma`, in order."""
     stop = F.array(*[F.lit(w) for w in CONTENT_STOP_WORDS])
-    tokens = F.filter(lower_words(F.coalesce(text, F.lit(""))), lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$") & ~F.array_contains(stop, w))
-    return F.array_distinct(F.filter(F.transform(tokens, lemma), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w)))
+    long = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LONG_WORD), F.lit(0))
+    tokens = F.array_except(F.transform(long, F.lower), stop)
+    if lemma is None:
+        return tokens
+    return F.array_except(F.filter(F.transform(tokens, lemma), lambda w: F.length(w) >= 3), stop)
 
 
 def _hits(text: Column, markers: list[str]) -> Column:
@@ -138,17 +144,23 @@ def generic_summary(text: Column) -> Column:
     return (_hits(low, GENERIC_ALWAYS) > 0) | (ru >= 2) | (en >= 2) | ((F.length(low) < 65) & ((ru >= 1) | (en >= 1)))
 
 
-def grounding_overlap(summary: Column, evidence: Column) -> Column:
-    a, b = content_tokens(summary), content_tokens(evidence)
+def overlap(a: Column, b: Column) -> Column:
+    """The share of the tokens in a that b holds too."""
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
 
 
-def grounded_summary(summary: Column, evidence: Column, fallback: Column) -> Column:
-    own, spare = (F.nullif(normal_spaces(F.coalesce(x, F.lit(""))), F.lit("")) for x in (summary, fallback))
-    picked = fallback_sentences(evidence)
-    candidate = F.coalesce(own, spare, picked)
-    weak = (grounding_overlap(candidate, evidence) < 0.18) | generic_summary(candidate)
-    return F.left(F.when(weak, F.coalesce(spare, picked)).otherwise(candidate), F.lit(2000))
+def grounded(rows: DataFrame, summary: str, evidence: str, fallback: str) -> DataFrame:
+    """rows with `summary` held against `evidence`: what shares too little with it or is generic gives way to `fallback`, or to sentences of the evidence.
+
+    In steps, so that the tokens of the evidence are made once a row.
+    """
+    own, spare = (F.nullif(normal_spaces(F.coalesce(F.col(x), F.lit(""))), F.lit("")) for x in (summary, fallback))
+    rows = rows.withColumns({"_own": own, "_spare": spare})
+    rows = rows.withColumn("_spare", F.coalesce("_spare", F.when(F.col("_spare").isNull(), fallback_sentences(F.col(evidence)))))
+    rows = rows.withColumn("_said", F.coalesce("_own", "_spare"))
+    rows = rows.withColumns({"_a": content_tokens(F.col("_said")), "_b": content_tokens(F.col(evidence)), "_generic": generic_summary(F.col("_said"))})
+    weak = (overlap(F.col("_a"), F.col("_b")) < 0.18) | F.col("_generic")
+    return rows.withColumn(summary, F.left(F.when(weak, F.col("_spare")).otherwise(F.col("_said")), F.lit(2000))).drop("_own", "_spare", "_said", "_a", "_b", "_generic")
 
 
 def truthy(text: Column) -> Column:

@@ -86,7 +86,7 @@ def theme_summaries(themes: DataFrame, blocks: DataFrame) -> DataFrame:
     """book, theme, summary held against the blocks it stands for."""
     key = ["book", "theme"]
     rows = _evidence(theme_blocks(themes, blocks), key, 240, 1400, 3)
-    return rows.join(themes.select(*key, "summary"), key).select(*key, T.grounded_summary(F.col("summary"), F.col("evidence"), F.col("spare")).alias("summary"))
+    return T.grounded(rows.join(themes.select(*key, "summary"), key), "summary", "evidence", "spare").select(*key, "summary")
 
 
 def block_digests(runs: DataFrame, most: int = 260) -> DataFrame:
@@ -129,8 +129,7 @@ def theme_hierarchy(blocks: DataFrame, replies: DataFrame | None = None) -> tupl
     raw = cut(raw.withColumn("title", title))
     own = raw.select(*key, "run", "start", "end").join(runs.drop("chapter_title"), ["book", "run"]).where(F.col("local").between(F.col("start"), F.col("end")))
     gathered = _evidence(own, key, 240, 1400, 3).join(raw.select(*key, "run", "chapter_title", "title", "summary"), key)
-    summary = T.grounded_summary(F.col("summary"), F.col("evidence"), F.col("spare"))
-    themes = cut(gathered.select(*key, "run", "chapter_title", "title", summary.alias("summary"), "start_block", "end_block", "start_paragraph", "end_paragraph"))
+    themes = cut(T.grounded(gathered, "summary", "evidence", "spare").select(*key, "run", "chapter_title", "title", "summary", "start_block", "end_block", "start_paragraph", "end_paragraph"))
 
     texts = own.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("order_number", "source_text"))).alias("x"))
     texts = texts.select(*key, F.array_join(F.transform("x", lambda x: x["source_text"]), "\n\n").alias("text"))
@@ -156,10 +155,9 @@ def theme_hierarchy(blocks: DataFrame, replies: DataFrame | None = None) -> tupl
         held = held.unionByName(told)
     rows = held.join(runs.drop("chapter_title"), ["book", "run"]).where(F.col("local").between(F.col("first"), F.col("last")))
     proof = _evidence(rows, [*key, "idx"], 200, 1200, 2).join(held.select(*key, "idx", "name", "summary", "quote", "importance"), [*key, "idx"])
-    grounded = F.left(T.grounded_summary(F.col("summary"), F.col("evidence"), F.col("spare")), F.lit(1000))
     quote = F.left(T.or_default(F.col("quote"), T.first_quote(F.col("evidence"))), F.lit(500))
     bounds = ["start_block", "end_block", "start_paragraph", "end_paragraph"]
-    full = proof.select(*key, "idx", "name", grounded.alias("summary"), quote.alias("source_quote"), "importance", *bounds)
+    full = T.grounded(proof, "summary", "evidence", "spare").select(*key, "idx", "name", F.left("summary", F.lit(1000)).alias("summary"), quote.alias("source_quote"), "importance", *bounds)
     plain = made.where("not many").join(themes.select(*key, *bounds), key).select(*key, "idx", "name", F.lit(SUBTOPIC_SUMMARY).alias("summary"), F.lit("").alias("source_quote"), "importance", *bounds)
     found = deduplicated_subtopics(full.unionByName(plain).withColumn("name", F.left("name", F.lit(255))).where(T.concept_name(F.col("name")) != ""))
     return themes.drop("run"), found
