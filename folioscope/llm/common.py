@@ -1,76 +1,33 @@
-"""Shared plumbing: the folder that cuts lineage, and connected components over links."""
+"""Shared plumbing of the training-data operators: batches for Python, cut in small pieces."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from folioscope.tables import components, cut, cuts_so_far, drop_all_but, drop_cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = getattr(spark.sparkContext, "_folioscope_dir", None)
-    if not found:
-        found = spark.sparkContext._folioscope_dir = "file://" + tempfile.mkdtemp(prefix="folioscope-")
-    return found
+__all__ = ["components", "cut", "cuts_so_far", "drop_all_but", "drop_cut", "pieces", "shared_dir"]
 
+#: Bytes of a column that a worker turns into Python objects at once.
+PIECE_BYTES = 1 << 20
+#: Tasks of a shuffle whose groups are of one size; more groups share tasks.
+MOST_TASKS = 50_000
 
-def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
 
-    Lost executors then only repeat what comes after it. The table goes when the JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folioscope/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._folioscope_path = path
-    return out
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete a table that cut() wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, df._folioscope_path
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of links(a, b): root is the smallest node reachable.
-
-    Each round hooks every node onto its smallest neighbour, follows those hooks to their ends by
-    doubling, and keeps only links between different ends, so at least half of the live nodes go.
-    Only minima are grouped, so a node with very many links is aggregated before the shuffle.
-    """
-    live = cut(links.select("a", "b").where("a <> b").distinct())
-    labels = None
-    while not live.isEmpty():
-        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
-        while True:
-            up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = cut(hooks.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
-            drop_cut(hooks)
-            hooks = jumped
-            if hooks.where("moved").isEmpty():
-                break
-        ends = hooks.select("node", "root")
-        if labels is None:
-            labels = ends
-        else:
-            nxt = cut(labels.join(ends.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.coalesce("above", "root").alias("root")))
-            labels = nxt
-        a, b = (ends.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-        nxt = cut(live.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-        drop_cut(live)
-        live = nxt
-    if labels is None:
-        return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return labels.select("node", "root")
+def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `size` bytes of a column, one row at least, so that memory follows the longest row and not the batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        after = np.cumsum(lengths.astype(np.int64) + 64)
+        lo = 0
+        while lo < batch.num_rows:
+            used = after[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(after, used + size, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
