@@ -1,9 +1,10 @@
 """Embedding near-duplicates over hierarchical navigable small-world graphs, one for each shard of a label.
 
 Vectors of one label (and length) are dealt by hash into shards of at most about `shard_rows`; each gets a
-layered graph. Every shard is searched with the vectors of every shard of its label. A beam whose every place holds
-a link is widened for its query; a beam whose audit (some queries held against brute force) shows less recall
-than asked is doubled for all. Candidates count only if their cosine in double precision reaches the threshold.
+layered graph, however few they are. Every shard is searched with the vectors of every shard of its label. A beam whose
+every place holds a link is widened for its query; a beam whose audit (some queries held against brute force) misses a
+link or shows less recall than asked is doubled for all. Only where a beam as wide as the shard still fails its audit are
+all products taken. Candidates count only if their cosine in double precision reaches the threshold.
 Equal vectors are one class with a count, so a vector with very many copies costs as much as one.
 
 Defined results: a null label, a null, empty or zero vector and one with null or non-finite components have no
@@ -158,42 +159,41 @@ class Graph:
         audit = np.unique(np.linspace(0, b - 1, min(b, AUDIT)).astype(int))
         truth = queries[audit] @ self.x.T
         top = np.argpartition(-truth, min(3, n - 1), axis=1)[:, : min(4, n)]
-        while width < n // 16:
-            if self._recall(queries[audit], truth, top, least, width) >= RECALL:
-                break
-            width *= 2
+        width = min(width, n)
+        while (missed := not self._passes(queries[audit], truth, top, least, width)) and width < n:
+            width = min(n, 2 * width)
         out_q, out_n = [], []
         left = np.arange(b)
         while len(left):
             again = []
             for k in range(0, len(left), 512):
                 some = left[k : k + 512]
-                if width >= n // 16:
+                if missed:
                     q, node = np.nonzero(queries[some] @ self.x.T >= least)
                     out_q.append(some[q])
                     out_n.append(node)
                     continue
                 ids, sims = self.beam(0, queries[some], self.descend(queries[some], 0), width)
-                full = (sims >= least).all(axis=1)
+                full = (sims >= least).all(axis=1) & (width < n)
                 again.append(some[full])
                 q, c = np.nonzero((sims >= least) & ~full[:, None])
                 out_q.append(some[q])
                 out_n.append(ids[q, c])
             left = np.concatenate(again) if again else left[:0]
-            width *= 4
+            width = min(n, 4 * width)
         return np.concatenate(out_q), np.concatenate(out_n)
 
-    def _recall(self, queries: np.ndarray, truth: np.ndarray, top: np.ndarray, least: float, width: int) -> float:
+    def _passes(self, queries: np.ndarray, truth: np.ndarray, top: np.ndarray, least: float, width: int) -> bool:
+        """Whether a beam finds every link of some queries, and of their nearest nodes the share RECALL."""
         ids, sims = self.beam(0, queries, self.descend(queries, 0), width)
-        ids = np.where((sims >= least).all(axis=1)[:, None], -1, ids)  # those are widened anyway
+        if width < len(self.x):
+            ids = np.where((sims >= least).all(axis=1)[:, None], -1, ids)  # those are widened anyway
         open_rows = (ids >= 0).any(axis=1)
         if not open_rows.any():
-            return 1.0
+            return True
         hit = (top[open_rows][:, :, None] == ids[open_rows][:, None, :]).any(axis=2)
-        nearest = hit.mean()
         q, node = np.nonzero(truth[open_rows] >= least)
-        links = (ids[open_rows][q] == node[:, None]).any(axis=1).mean() if len(q) else 1.0
-        return min(nearest, links)
+        return hit.mean() >= RECALL and bool((ids[open_rows][q] == node[:, None]).any(axis=1).all())
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -273,7 +273,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, shard_rows: int
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(found.where("cls <> to").select(F.col("to").alias("a"), F.col("cls").alias("b")))
     known = classes.select("label", "v", "cls", "n").join(links, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    known = known.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cls").alias("component_id"))
-    out = rows.join(known, ["label", "v"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    # A table of its own: a label's copies of one vector may be a third of all rows, and only a join's plain sides are split.
+    known = cut(known.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cls").alias("component_id")))
+    linked = rows.where("v is not null").join(known, ["label", "v"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
