@@ -8,7 +8,7 @@ equally long ones that with the longer host. URLs that no rule fits are allowed.
 
 The filter takes `bits_per_key` bits a rule up to `most_bytes`; beyond, it only lets more through to the join.
 Defined results: a null URL or one without `://` has an empty host and path and fits no rule; equal URLs are
-judged once; a rule given twice with both verdicts blocks; an empty list allows everything.
+judged once; a rule given twice with both verdicts blocks; a rule without a host fits nothing; an empty list allows everything.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import cut
+
 BITS_PER_KEY, MOST_BYTES = 16, 16_000_000
 PROBES = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,12 +62,12 @@ def bloom(keys: DataFrame, blocks: int) -> np.ndarray:
 
 
 def judge(pages: DataFrame, rules: DataFrame, bits_per_key: int = BITS_PER_KEY, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(host, path, rule, verdict) for every different host and path of pages.url."""
+    """(host, path, rule, verdict) for every different host and path of pages.url that a rule fits. A host is never empty here."""
     sc = pages.sparkSession.sparkContext
     host, path = url_parts(F.col("url").cast("string"))
-    urls = pages.select(host.alias("host"), path.alias("path")).distinct()
+    urls = pages.select(host.alias("host"), path.alias("path")).where("host <> ''").distinct()
     # A null verdict or part makes no rule. Where one is listed with both verdicts, block wins.
-    listed = rules.where("host is not null and path is not null and verdict is not null").groupBy(F.concat("host", "path").alias("key"), F.length("host").alias("cut_at")).agg(F.max("verdict").alias("verdict"))
+    listed = rules.where("host <> '' and path is not null and verdict is not null").groupBy(F.concat("host", "path").alias("key"), F.length("host").alias("cut_at")).agg(F.max("verdict").alias("verdict"))
     h = F.xxhash64("key", "cut_at").alias("h")
     stats = listed.agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.length("key") - F.col("cut_at"))).alias("lengths")).first()
     blocks = max(1, min(most_bytes // 64, -(-stats["n"] * bits_per_key // 512)))
@@ -87,11 +89,17 @@ def judge(pages: DataFrame, rules: DataFrame, bits_per_key: int = BITS_PER_KEY,
     hits = tried.select("host", "path", F.explode(F.filter(F.arrays_zip("ways", "hit"), lambda z: z["hit"])).alias("z")).select("host", "path", "z.ways.*")
     exact = hits.join(listed, ["key", "cut_at"])
     best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("size"), "cut_at", "key", "verdict")).alias("b"))
-    return urls.join(best, ["host", "path"], "left").select("host", "path", F.col("b.key").alias("rule"), F.coalesce("b.verdict", F.lit("allow")).alias("verdict"))
+    return best.select("host", "path", F.col("b.key").alias("rule"), F.col("b.verdict").alias("verdict"))
 
 
 def filtered(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict for every row of pages."""
+    """page_id, host, path, rule, verdict for every row of pages.
+
+    Only hosts and paths that a rule fits come back, as a table of their own, and URLs without a host don't look for them:
+    so one busy host and path may hold any share of the rows, and its partition is split by adaptive execution.
+    """
     host, path = url_parts(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    return rows.join(judge(pages, rules), ["host", "path"]).select("page_id", "host", "path", "rule", "verdict")
+    ruled = cut(judge(pages, rules))
+    found = rows.where("host <> ''").join(ruled, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    return found.unionByName(rows.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict")))
