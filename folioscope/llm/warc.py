@@ -18,11 +18,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import MOST_TASKS, cut
+
 LEAST = 1000
 ARCHIVE_BYTES = 16_000_000
+#: About what a record takes beside its payload and URL.
+HEADER_BYTES = 320
+#: Rows that are broadcast.
+FEW_ROWS = 10_000
 _PIECE = 1 << 18
 _DATE = "1970-01-01T00:00:00Z"
 
@@ -107,14 +113,30 @@ def _write(rows: pa.Table, again: pa.Table) -> pa.Table:
 def write_archives(pages: DataFrame, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(archive, data): whole-file gzip archives of about archive_bytes before compression, one record for each page.
 
-    Payloads are shuffled once, to their archives; which records are revisits comes there by a table of its own.
+    Payloads are shuffled once, to their archives; which records are revisits comes there by a table of its own. Rows of
+    one page_id and payload go to one archive, or where they would fill more, to any of as many as they fill.
     """
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    archives = max(1, -(-total // archive_bytes))
-    rows = payloads(pages).withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)).cast("long"))
-    again = revisits(rows.select("archive", "page_id", "digest", "size"), least).select("archive", "page_id", "digest", "refers").distinct()
-    again = again.toDF(*again.columns)  # columns of its own, as both sides come from pages
-    return rows.groupBy("archive").cogroup(again.groupBy("archive")).applyInArrow(_write, "archive long, data binary")
+    rows = payloads(pages)
+    whole = F.col("size") + HEADER_BYTES + F.coalesce(F.octet_length("url"), F.lit(0))
+    sums = cut(rows.groupBy("page_id", "digest").agg(F.sum(whole).alias("bytes")))
+    archives = max(1, -(-(sums.agg(F.sum("bytes")).first()[0] or 0) // archive_bytes))
+    hot = cut(sums.where(F.col("bytes") > archive_bytes).select(F.col("page_id").alias("hot_id"), F.col("digest").alias("hot_digest"), F.ceil(F.col("bytes") / archive_bytes).alias("spread")))
+    few = hot.count() <= FEW_ROWS
+
+    def spread(df: DataFrame, salt: Column) -> DataFrame:
+        """df with its archive; rows of a hot page_id and payload by `salt` too."""
+        wide = F.broadcast(hot) if few else hot
+        dealt = df.join(wide, F.col("page_id").eqNullSafe(F.col("hot_id")) & (F.col("digest") == F.col("hot_digest")), "left").withColumn("salt", salt)
+        dealt = dealt.withColumn("archive", F.pmod(F.xxhash64("page_id", "digest", "salt"), F.lit(archives)).cast("long"))
+        return dealt.drop("hot_id", "hot_digest", "spread", "salt")
+
+    rows = spread(rows, F.coalesce(F.pmod(F.monotonically_increasing_id(), "spread"), F.lit(0)))
+    again = revisits(payloads(pages).select("page_id", "digest", "size"), least).select("page_id", "digest", "refers").distinct()
+    again = spread(again, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("spread", F.lit(1)) - 1))).distinct()
+    again = again.select("archive", "page_id", "digest", "refers").toDF("archive", "page_id", "digest", "refers")
+    tasks = int(min(archives, MOST_TASKS))
+    dealt = (x.repartition(tasks, "archive").groupBy("archive") for x in (rows, again))
+    return next(dealt).cogroup(next(dealt)).applyInArrow(_write, "archive long, data binary")
 
 
 def _normalise(batches):
