@@ -7,7 +7,8 @@ on the document's length come first, then every word of the window is compared.
 
 The windows go to the executors as arrays of word numbers while the benchmark's texts take at most `item_bytes`
 (some 10 bytes of memory for each byte of text, 70 on the driver while they are built); a larger benchmark is
-worked off in parts of that size, each over all documents, and the spans are merged.
+worked off in parts of about that size, each over all documents, and the spans are merged. An item of more than an
+eighth of it is cut into stretches that overlap by a window less one word, so that no part is much larger.
 
 Defined results: a null or empty text has no words; an item without words has no windows; an item without an
 item_id marks words but is not listed; equal items all count; rows with equal doc_id stay rows of their own;
@@ -17,13 +18,14 @@ an empty benchmark leaves all documents clean.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut
+from folioscope.llm.common import cut, pieces
 
 SHINGLE = 5
 ITEM_BYTES = 8_000_000
@@ -158,7 +160,7 @@ def _counts(shared):
     def run(batches):
         part = shared.value
         total = np.zeros(part.count, np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             for text in batch.column("text").to_pylist():
                 ids = part.number(words(text))
                 for k in part.keys:
@@ -174,7 +176,7 @@ _SPANS = "dk long, doc_id long, n_words long, spans array<struct<lo:long,hi:long
 
 def _spans(shared):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             n, spans, items = [], [], []
             for text in batch.column("text").to_pylist():
                 w = words(text)
@@ -188,45 +190,68 @@ def _spans(shared):
     return run
 
 
-def _parts(texts: DataFrame, benchmark: DataFrame, window: int, shingle: int, item_bytes: int) -> Iterator[Items]:
-    """The benchmark in parts of about item_bytes, with prefixes by the shingles' frequency over all texts."""
+def _stretches(window: int, most: int):
+    """Items of more than `most` bytes as stretches of their words that hold the same windows."""
+
+    def run(batches):
+        for batch in pieces(batches):
+            names, out = [], []
+            for name, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                w = words(text) if len(text) * 4 > most else []
+                size = sum(map(len, w)) + len(w)
+                if size <= most:
+                    names.append(name)
+                    out.append(text)
+                    continue
+                step = max(window, len(w) * most // size)
+                for at in range(0, max(1, len(w) - window + 1), step):
+                    names.append(name)
+                    out.append(b" ".join(w[at : at + step + window - 1]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.string())], ["item_id", "text"])
+
+    return run
+
+
+def _parts(texts: DataFrame, benchmark: DataFrame, window: int, shingle: int, item_bytes: int) -> Iterator[tuple[Items, bool]]:
+    """The benchmark in parts, and whether there are several, of about item_bytes, with prefixes by the shingles' frequency over all texts."""
     sc = texts.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    items = cut(items.mapInArrow(_stretches(window, max(1, item_bytes // 8)), "item_id string, text string").distinct())
     parts = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // item_bytes))
     for p in range(parts):
         # At most about item_bytes: the benchmark's own share of this part, not the corpus.
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).distinct().collect()
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()
         part = Items([(r.item_id, r.text) for r in sorted(own, key=lambda r: (r.item_id or "", r.text))], window, shingle)
         found = texts.mapInArrow(_counts(sc.broadcast(part)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
         counts = np.zeros(part.count, np.int64)
         for r in found.toLocalIterator():
             counts[r.shingle] = r.n
         part.order(counts)
-        yield part
+        yield part, parts > 1
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = SHINGLE, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """dk, doc_id, n_words, spans (ranges of words hit), items (ids with occurring windows), one row for each document.
 
-    dk numbers the rows of docs by their place in the input.
+    dk numbers the rows of docs; where the benchmark takes several parts, in a table that all of them read.
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.monotonically_increasing_id().alias("dk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out, parts = None, 0
-    for part in _parts(rows.select("text"), benchmark, window, shingle, item_bytes):
-        parts += 1
-        found = rows.mapInArrow(_spans(sc.broadcast(part)), _SPANS)
-        out = found if out is None else out.unionByName(found)
-    if parts == 1:
-        return out
-    out = cut(out)
+    found = []
+    for part, several in _parts(rows.select("text"), benchmark, window, shingle, item_bytes):
+        if several and not found:
+            rows = cut(rows)
+        found.append(rows.mapInArrow(_spans(sc.broadcast(part)), _SPANS))
+    if len(found) == 1:
+        return found[0]
+    out = cut(reduce(DataFrame.unionByName, found))
     merged = out.groupBy("dk", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    pieces = F.aggregate(
+    joined = F.aggregate(
         F.array_sort("spans"),
         F.expr("cast(array() as array<struct<lo:long,hi:long>>)"),
         lambda acc, x: F.when((F.size(acc) > 0) & (x["lo"] <= F.element_at(acc, -1)["hi"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["lo"].alias("lo"), F.greatest(x["hi"], F.element_at(acc, -1)["hi"]).alias("hi"))))).otherwise(F.concat(acc, F.array(x))),
     )
-    return merged.withColumn("spans", pieces)
+    return merged.withColumn("spans", joined)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -245,11 +270,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int
 
     def keep(shared):
         def run(batches):
-            for batch in batches:
+            for batch in pieces(batches):
                 yield batch.filter(pa.array([not len(shared.value.spans(words(t))[0]) for t in batch.column("text").to_pylist()], pa.bool_()))
 
         return run
 
-    for part in _parts(docs.select(F.col("text").cast("string").alias("text")), benchmark, window, shingle, item_bytes):
+    for part, _ in _parts(docs.select(F.col("text").cast("string").alias("text")), benchmark, window, shingle, item_bytes):
         docs = docs.mapInArrow(keep(sc.broadcast(part)), schema)
     return docs
