@@ -4,7 +4,8 @@ The lines' keys are hashed to 128 bits; rows of hash, document and position are
 by all three, so one very common line spreads over as many partitions as it needs. Each partition is streamed:
 the first document of a hash keeps its lines, later ones lose theirs. A hash that runs on from the partition
 before is settled by one row for each partition (its first and last hash). The result is a compressed
-bitmap of kept lines for each document, not text.
+bitmap of lost lines for each document, not text. Texts are hashed by Spark itself, and the bitmaps are a table of
+their own, so no task keeps more than one Python worker.
 
 Defined results: a null text is one empty line; rows with equal doc_id are one document, so they don't take
 lines from each other; a null doc_id comes after all others, and all rows with it are one document; keys shorter
@@ -20,31 +21,27 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut
+from folioscope.llm.common import cut, pieces
 
 LEAST = 10
 _SPACE = " \t\n\x0b\x0c\r"
 _LAST = (1 << 63) - 1
 
 
-def text_key(text: str) -> int:
-    """Signed hash that tells the texts of one doc_id apart."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(text.encode())).astype(np.int64))
+def text_key() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def _lines(least: int):
     def run(batches):
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            hashes, rows, places, docs, keys = [], [], [], [], []
-            for row, text in enumerate(texts):
-                text = text or ""
-                docs.append(_LAST if ids[row] is None else ids[row])
-                keys.append(text_key(text))
-                for i, line in enumerate(text.split("\n")):
+        for batch in pieces(batches):
+            hashes, rows, places = [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                for i, line in enumerate((text or "").split("\n")):
                     line = line.strip(_SPACE)
                     if len(line) >= least:
                         hashes.append(xxhash.xxh3_128_digest(line.encode().lower()))
@@ -52,9 +49,8 @@ def _lines(least: int):
                         places.append(i)
             h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
             at = np.asarray(rows, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.asarray(docs, np.int64)[at]), pa.array(np.asarray(keys, np.int64)[at]), pa.array(places, pa.int32())], ["h1", "h2", "doc", "tk", "line"]
-            )
+            docs, keys = (batch.column(x).to_numpy() for x in ("doc", "tk"))
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(docs[at]), pa.array(keys[at]), pa.array(places, pa.int32())], ["h1", "h2", "doc", "tk", "line"])
 
     return run
 
@@ -98,7 +94,7 @@ def _stream(batches):
 def lost_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc, tk, line) of every line that a document loses; doc is doc_id or the largest long for null."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), text_key().alias("tk"), F.col("text").cast("string").alias("text"))
     lines = cut(rows.mapInArrow(_lines(least), "h1 long, h2 long, doc long, tk long, line int"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["h1", "h2", "doc", "line", "tk"]
@@ -127,37 +123,50 @@ def bitmaps(docs: DataFrame, least: int = LEAST) -> DataFrame:
         return lines.map(lambda x: zlib.compress(np.packbits(np.bincount(x, minlength=1) > 0, bitorder="little").tobytes(), 1))
 
     lost = lost_lines(docs, least).groupBy("doc", "tk").agg(F.collect_list("line").alias("lines"))
-    return lost.select("doc", "tk", pack("lines").alias("lost"))
+    return cut(lost.select("doc", "tk", pack("lines").alias("lost")))
 
 
-def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """All columns of docs with n_lines, n_dropped, and text without the lines that go (null stays null)."""
-    made = ("n_lines", "n_dropped", "doc", "tk", "lost", "kept_sha256")
-    rows = docs.drop(*[c for c in docs.columns if c.lower() in made])
+def _with_bitmaps(docs: DataFrame, least: int) -> DataFrame:
+    """docs with `_lost`: the bitmap of each text's lost lines, or null."""
+    lost = bitmaps(docs, least).select(F.col("doc").alias("_doc"), F.col("tk").alias("_tk"), F.col("lost").alias("_lost"))
+    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_tk": text_key()})
+    return keyed.join(lost, ["_doc", "_tk"], "left").drop("_doc", "_tk")
+
 
-    @F.pandas_udf("long")
-    def key(text):
-        return text.map(lambda t: text_key(t or ""))
+def _left(text: str | None, lost: bytes | None) -> tuple[str | None, int, int]:
+    """The text without its lost lines, how many lines it had and how many went."""
+    lines = (text or "").split("\n")
+    if lost is None:
+        return text, len(lines), 0
+    gone = np.unpackbits(np.frombuffer(zlib.decompress(lost), np.uint8), bitorder="little")
+    kept = [x for i, x in enumerate(lines) if i >= len(gone) or not gone[i]]
+    return "\n".join(kept), len(lines), len(lines) - len(kept)
 
-    names = [f.name for f in rows.schema]
-    keyed = rows.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("tk", key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = keyed.join(bitmaps(docs, least), ["doc", "tk"], "left").drop("doc", "tk")
 
+def _rewritten(names: list[str], counts: bool):
     def run(batches):
-        for batch in batches:
-            kept, n, dropped, shas = [], [], [], []
-            for text, lost in zip(batch.column("text").to_pylist(), batch.column("lost").to_pylist(), strict=True):
-                lines = (text or "").split("\n")
-                n.append(len(lines))
-                if lost is not None:
-                    gone = np.unpackbits(np.frombuffer(zlib.decompress(lost), np.uint8), bitorder="little")
-                    lines = [x for i, x in enumerate(lines) if i >= len(gone) or not gone[i]]
-                    text = "\n".join(lines)
-                dropped.append(n[-1] - len(lines))
-                kept.append(text)
-                shas.append(hashlib.sha256((text or "").encode()).hexdigest())
-            columns = [pa.array(kept, pa.string()) if x == "text" else batch.column(x) for x in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(shas, pa.string())], [*names, "n_lines", "n_dropped", "kept_sha256"])
+        for batch in pieces(batches):
+            got = [_left(*x) for x in zip(batch.column("text").to_pylist(), batch.column("_lost").to_pylist(), strict=True)]
+            columns = [pa.array([x[0] for x in got], pa.string()) if name == "text" else batch.column(name) for name in names]
+            if counts:
+                shas = [hashlib.sha256((x[0] or "").encode()).hexdigest() for x in got]
+                columns += [pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64()), pa.array(shas, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *(MADE if counts else ())])
+
+    return run
+
 
+MADE = ("n_lines", "n_dropped", "kept_sha256")
+
+
+def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """All columns of docs with n_lines, n_dropped, kept_sha256 (those named like them are replaced), and text without the lines that go (null stays null)."""
+    rows = docs.drop(*[c for c in docs.columns if c.lower() in MADE])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return joined.mapInArrow(run, f"{schema}, n_lines long, n_dropped long, kept_sha256 string")
+    return _with_bitmaps(rows, least).mapInArrow(_rewritten(rows.columns, True), f"{schema}, n_lines long, n_dropped long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """The rows of docs, with all their columns, and text without the lines that go."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return _with_bitmaps(docs, least).mapInArrow(_rewritten(docs.columns, False), schema)
