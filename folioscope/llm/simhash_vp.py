@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import components, cut
+from folioscope.llm.common import components, cut, pieces
 
 #: Rows of a leaf that one task compares, stored and asked for.
 LEAF_ROWS, STORED, ASKED = 2048, 4096, 16384
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     """doc_id, fp (signed), n (shingles)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             got = [fingerprint(t, size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["doc_id", "fp", "n"])
 
@@ -213,11 +213,11 @@ WIDE_STORED, WIDE_ASKED = 16384, 65536
 SET_HASHES, ROW_HASHES, PIVOTS = 2_000_000, 128, 16
 
 
-def wide_radius(similarity: float) -> int:
-    """Differing bits that let all but one in 10^6 pairs of this Jaccard similarity through, by the angle between their sets."""
-    bits = 64 * WORDS
+def wide_radius(similarity: float, words: int = WORDS, deviations: float = 6.0) -> int:
+    """Bits of so many words that a pair of this Jaccard similarity differs in, by the angle between its sets, and so many standard deviations more."""
+    bits = 64 * words
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return min(bits, int(bits * share + 5 * np.sqrt(bits * share * (1 - share))))
+    return min(bits, int(bits * share + deviations * np.sqrt(bits * share * (1 - share))))
 
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
@@ -238,22 +238,33 @@ def wide_fingerprint(text: str | None, size: int = 5) -> tuple[bytes, bytes, int
     return xxhash.xxh3_128_digest(h.tobytes()), np.packbits(2 * ones > len(h), bitorder="little").tobytes(), len(h)
 
 
-def _compare_wide(radius: int, similarity: float):
+#: Rows stored and asked that are compared at once.
+_TILE = (256, 4096)
+
+
+def _compare_wide(similarity: float):
+    """Labels of rows of like size whose fingerprints agree well enough, in the first word and in all."""
+    first, whole = wide_radius(similarity, 1, 5.5), wide_radius(similarity)
+
     def run(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("first", kind="stable")
-        node, kind, n = rows["first"].to_numpy(), rows["kind"].to_numpy(), rows["n"].to_numpy(np.float64)
+        rows = rows.sort_values(["n", "first"], kind="stable")
+        names, place = np.unique(rows["first"].to_numpy(), return_inverse=True)
+        kind, n = rows["kind"].to_numpy(), rows["n"].to_numpy(np.float64)
         fp = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(-1, WORDS)
-        names, place = np.unique(node, return_inverse=True)
         s, q = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-        labels = Labels(len(names))
-
-        def found(i: np.ndarray, j: np.ndarray) -> None:
-            i, j = s[i], q[j]
-            ok = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= radius)
-            labels.join(place[i[ok]], place[j[ok]])
-
-        for w in range(WORDS):  # of the words of a pair within radius, one at least is within its share
-            search(np.ascontiguousarray(fp[s, w]), np.ascontiguousarray(fp[q, w]), radius // WORDS, found)
+        head, labels = np.ascontiguousarray(fp[:, 0]), Labels(len(names))
+        for a in range(0, len(s), _TILE[0]):
+            i = s[a : a + _TILE[0]]
+            # Both are in order of their sizes, so those of like size are one stretch.
+            lo, hi = np.searchsorted(n[q], similarity * n[i[0]] - 1e-9), np.searchsorted(n[q], n[i[-1]] / similarity + 1e-9, side="right")
+            for b in range(lo, hi, _TILE[1]):
+                j = q[b : min(hi, b + _TILE[1])]
+                x, y = np.nonzero(np.bitwise_count(head[i, None] ^ head[j]) <= first)
+                x, y = i[x], j[y]
+                ok = (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])) & (place[x] != place[y])
+                x, y = x[ok], y[ok]
+                ok = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= whole
+                labels.join(place[x[ok]], place[y[ok]])
         moved = np.flatnonzero(labels.at != np.arange(len(names)))
         return pd.DataFrame({"a": names[labels.at[moved]], "b": names[moved]})
 
@@ -280,12 +291,13 @@ def _candidates(distinct: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) of `first` between sets of like size whose fingerprints agree well enough for this similarity.
 
     Sets are compared with those of their own size class and the next, in blocks: balls this wide overlap nearly
-    every leaf of a vantage-point partition, so only the tree inside a task prunes.
+    every leaf of a vantage-point partition, so neither it nor a tree would prune. The first word of the fingerprints
+    is compared for all of like size, the others for what it leaves.
     """
     ring = F.floor(-F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(similarity)) + 1e-9).cast("long")
     routed = distinct.select("first", "fp", "n", _kinds((0, ring), (1, ring), (1, ring - 1)))
     dealt = _deal(routed, ["group"], F.lit(1), WIDE_STORED, WIDE_ASKED)
-    return dealt.groupBy("group", "x", "y").applyInPandas(_compare_wide(wide_radius(similarity), similarity), "a long, b long")
+    return dealt.groupBy("group", "x", "y").applyInPandas(_compare_wide(similarity), "a long, b long")
 
 
 def _verify(radius: int, similarity: float):
@@ -355,19 +367,19 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     """(doc_id, component_id) of every document that is alike to one of smaller doc_id, directly or through others.
 
     Alike: the Jaccard similarity of their sets of shingles is at least `similarity`; texts without words are
-    alike. Candidates come from wide fingerprints, which let all but one in 10^6 pairs at the limit through where
-    texts are long, and fewer of a dozen words; every link between different sets is then verified exactly.
+    alike. Candidates come from wide fingerprints, which let all but one in 10^7 pairs at the limit through where
+    texts are long, and about one in 20,000 less of a dozen words; every link between different sets is then verified exactly.
     Documents without a doc_id take no part.
     """
 
     def prints_of(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             got = [wide_fingerprint(t, size) for t in batch.column("text").to_pylist()]
             key, fp, n = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key, pa.binary()), pa.array(fp, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "key", "fp", "n"])
 
     def sets_of(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
             keys, prints = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [h.tobytes() for h in sets]
             yield pa.RecordBatch.from_arrays([batch.column("first"), batch.column("root"), pa.array(keys, pa.binary()), pa.array(prints, pa.binary())], ["first", "root", "key", "h"])
