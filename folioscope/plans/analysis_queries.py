@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscope.functions import text as T
 from folioscope.operators import concepts as C
 from folioscope.operators import themes as H
 from folioscope.plans.registry import query
