@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folioscope.llm import common, decontam_prefix, hnsw_dups, langid, line_dedup, queries, shard_shuffle, simhash_vp, sp_tokens, suffix_runs, url_filter, warc
+from folioscope.llm import common, decontam_prefix, hnsw_dups, line_dedup, queries, shard_shuffle, simhash_vp, suffix_runs, url_filter, warc
 from tests.oracle import SF, duck, spark_rows
 
 
@@ -78,6 +78,49 @@ def test_repeats_in_one_long_text(docs, none):
     assert suffix_runs.remove_repeats(none).count() == 0
 
 
+def test_long_texts_of_equal_bytes(spark):
+    rows = [(1, "ab" * 300_000), (2, "x" * 399), (3, "word " * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.shares_passage) for r in suffix_runs.remove_repeats(df, words=51).collect()}
+    assert got == {1: (600_000, False), 2: (0, False), 3: (0, False)}
+
+
+def test_shared_passages(spark):
+    """Passages of 12 words and more in texts that are else their own."""
+    rnd = random.Random(15)
+    words = [rnd.choice("abcdefgh") * rnd.randint(1, 9) for _ in range(60)]
+    passages = [[rnd.choice(words) for _ in range(n)] for n in (11, 12, 13, 40, 300)]
+    rows = []
+    for i in range(80):
+        w = [f"{rnd.choice(words)}{rnd.randint(0, 9999)}" for _ in range(rnd.choice((3, 30, 400)))]
+        if i % 4 == 0:
+            p, at = rnd.choice(passages), rnd.randint(0, len(w))
+            w[at:at] = p[: rnd.randint(11, len(p))]
+        rows.append((i, rnd.choice([" ", "\n", " \t "]).join(w)))
+    rows += [(100, rows[0][1]), (101, None), (102, ""), (103, "same " * 50), (104, " ".join(passages[1])), (104, " ".join(passages[1]))]
+    held = defaultdict(set)
+    for k, (_, x) in enumerate(rows):
+        w = (x or "").split()
+        for i in range(len(w) - 11):
+            held[tuple(w[i : i + 12])].add(k)
+    want = sorted((i, any(k in s for s in held.values() if len(s) > 1)) for k, (i, _) in enumerate(rows))
+    got = suffix_runs.shared_passages(spark.createDataFrame(rows, "doc_id long, text string"), 12)
+    assert sorted(tuple(r) for r in got.collect()) == want and 5 < sum(x for _, x in want) < 60
+
+
+@pytest.mark.parametrize("size", [300, 1 << 21])
+def test_words_over_parts_of_long_texts(monkeypatch, size):
+    """Segments over words are the same however a text is cut."""
+    rnd = random.Random(9)
+    data = [" ".join("".join(rnd.choice("abc") for _ in range(rnd.randint(1, 12))) for _ in range(n)).encode() for n in (5, 12, 400, 90)]
+    want = suffix_runs._passages(data, 12).to_pylist()
+    monkeypatch.setattr(suffix_runs, "CHUNK", size)
+    windows = [{b[w["s"] : w["s"] + w["l"]] for w in x} for b, x in zip(data, suffix_runs._passages(data, 12).to_pylist(), strict=True)]
+    for b, x, y in zip(data, want, windows, strict=True):
+        every = {b" ".join(b.split()[i : i + 12]) for i in range(len(b.split()) - 11)}
+        assert {v for v in every if any(v in s for s in y)} == every == {v for v in every if any(v in b[w["s"] : w["s"] + w["l"]] for w in x)}
+
+
 def test_repeats_over_chunks(spark, monkeypatch):
     rnd = random.Random(5)
     a = "".join(rnd.choice("abc") for _ in range(9000))
@@ -119,10 +162,33 @@ def test_sharding(docs, none):
     again = {(r.doc_id, r.shard, r.slot) for r in shard_shuffle.placement(docs.repartition(3), 7).collect()}
     assert again == {(r.doc_id, r.shard, r.slot) for r in got}
     assert shard_shuffle.placement(none, 7).count() == 0
-    small = shard_shuffle.shuffled(docs.unionByName(docs), 5, bucket_bytes=2000)
+    small = shard_shuffle.shuffled(docs.unionByName(docs), 5, bucket_bytes=2000).cache()
     assert small.count() == 2 * len(want) and small.select("shard", "slot").distinct().count() == 2 * len(want)
 
 
+def test_shards_of_one_busy_id(spark, monkeypatch):
+    """20,000 rows of one id, half of them alike: no bucket is much larger than it should be."""
+    inner = shard_shuffle._fisher_yates
+
+    def checked(seed, shards):
+        run = inner(seed, shards)
+
+        def small(table):
+            assert sum(table.column("size").to_pylist()) < 4 * 20_000
+            return run(table)
+
+        return small
+
+    monkeypatch.setattr(shard_shuffle, "_fisher_yates", checked)
+    monkeypatch.setattr(shard_shuffle, "ROW_OF_BUCKETS", 3)
+    df = spark.range(20_000).select(F.lit(5).alias("doc_id"), F.when(F.col("id") % 2 == 0, "alike").otherwise(F.concat(F.lit("text "), "id")).alias("text")).repartition(4)
+    got = shard_shuffle.shuffled(df.unionByName(df.limit(0)), 7, bucket_bytes=20_000).select("shard", "slot").collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == 20_000 and all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 def test_shards_on_disk(docs, tmp_path, spark):
     shard_shuffle.write_shards(docs, str(tmp_path / "s"), 4)
     back = spark.read.parquet(str(tmp_path / "s"))
@@ -250,42 +316,15 @@ def test_decontamination(spark, docs, none):
     own = docs.where("text is null or length(text) < 50000")
     got = decontam_prefix.report(own, bench)
     assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == want
-    parts = decontam_prefix.contamination(own, bench, item_bytes=300)
+    assert sum(len((x or "").encode()) for _, x in items) > 3 * 100  # so items are cut and dealt out in parts
+    parts = decontam_prefix.contamination(own, bench, item_bytes=100)
     assert {r.doc_id: (r.n_words, sum(s.hi - s.lo for s in r.spans), len(r["items"])) for r in parts.collect()} == {i: w[:3] for i, w in want.items()}
-    kept = decontam_prefix.clean(own, bench, item_bytes=300)
+    kept = decontam_prefix.clean(own, bench, item_bytes=100)
     assert {r.doc_id for r in kept.collect()} == {i for i, w in want.items() if not w[4]} and kept.columns == own.columns
     assert decontam_prefix.report(none, bench).count() == 0
     assert decontam_prefix.report(own, bench.where("false")).where("contaminated").count() == 0
 
 
-def test_languages(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
-    apart = [r for r in got if r.held_out]
-    assert len(got) == 1000 and len(apart) > 150
-    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
-    assert sum(r.lang_pred == r.lang for r in apart) / len(apart) > 0.97
-    assert all(0 <= r.score <= 1 for r in got) and sum(r.rejected for r in got) <= 10
-
-
-def test_languages_of_odd_texts(spark, docs, none):
-    own = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "aa").when(F.col("doc_id") % 3 == 0, "bb"))
-    got = {r.doc_id: r for r in langid.identify(own).collect()}
-    for i, t in enumerate(texts()):
-        assert (got[i].lang_pred == "und") == (not any(c.isalpha() for c in t or ""))
-    assert langid.identify(none).count() == 0
-    assert {r.lang_pred for r in langid.identify(own.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
-    again = langid.identify(own.repartition(2)).collect()
-    assert {r.doc_id: r.lang_pred for r in again} == {i: r.lang_pred for i, r in got.items()}
-
-
-def test_prediction_does_not_depend_on_neighbours():
-    model = langid.Model(["a", "b"], np.random.default_rng(0).normal(size=(1 << langid.BITS, 2)).astype(np.float32), np.zeros(2, np.float32), 1.0, 0.0)
-    some = [langid.letters(t) for t in ("hello big world", "x", "éé à la carte", "z" * 3000)]
-    whole = model.logits(some)
-    assert all(np.allclose(model.logits([b])[0], w, atol=1e-5) for b, w in zip(some, whole, strict=True))
-
-
 def brute_vectors(rows, threshold=0.98):
     good = {}
     for i, (vid, e, label) in enumerate(rows):
@@ -312,6 +351,32 @@ def test_vectors(spark, shard_rows):
     assert hnsw_dups.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 47, 48, 49, 300, 767, 769, 2500])
+def test_graph_finds_links_at_every_size(n, monkeypatch):
+    """Groups of near vectors of all sizes, one larger than a beam; the graph is searched, not all products."""
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(max(1, n // 12), 32))
+    of = np.where(rng.random(n) < 0.1, 0, rng.integers(0, len(centres), n))
+    x = hnsw_dups._unit(centres[of] + rng.normal(size=(n, 32)) * rng.choice([0.02, 0.06, 0.3], (n, 1)))
+    graph = hnsw_dups.Graph(x)
+    again = hnsw_dups.Graph(x, graph.pack())
+    used, beam = [], hnsw_dups.Graph.beam
+    monkeypatch.setattr(hnsw_dups.Graph, "beam", lambda self, layer, *a: used.append(layer) or beam(self, layer, *a))
+    q, node = again.near(x.astype(np.float32), 0.98)
+    got = set(zip(q.tolist(), node.tolist(), strict=True))
+    got |= {(b, a) for a, b in got}  # a link counts from whichever side it is found
+    sims = (x @ x.T).astype(np.float32)
+    sure = set(zip(*(a.tolist() for a in np.nonzero(sims >= 0.9801)), strict=True))
+    maybe = set(zip(*(a.tolist() for a in np.nonzero(sims >= 0.9799)), strict=True))
+    assert used.count(0) > 0 and got <= maybe and len(sure - got) <= 0.001 * len(sure)
+
+
+def test_a_label_without_good_vectors(spark):
+    rows = [(i, None if i % 2 else [0.0, 0.0], 1) for i in range(500)]
+    got = hnsw_dups.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(tuple(r) for r in got) == [(i, 0, i, True) for i in range(500)]
+
+
 def test_graph_recall():
     rng = np.random.default_rng(1)
     x = hnsw_dups._unit(rng.normal(size=(3000, 24)))
@@ -344,6 +409,18 @@ def test_urls(spark):
     assert url_filter.filtered(df.where("false"), rules).count() == 0
 
 
+def test_one_busy_url(spark):
+    """A third of the rows has one URL, a third none: no task joins more than its share."""
+    n = 60_000
+    url = F.when(F.col("id") % 3 == 0, "http://example.org/es/x").when(F.col("id") % 3 == 1, None).otherwise(F.concat(F.lit("http://h"), "id", F.lit(".com/fr/")))
+    df = spark.range(n).select(F.col("id").alias("page_id"), url.alias("url"))
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    got = {(r.rule, r.verdict): r["n"] for r in url_filter.filtered(df, rules).groupBy("rule", "verdict").agg(F.count("*").alias("n")).collect()}
+    assert got == {("example.org/es/", "block"): n // 3, (None, "allow"): n // 3, ("com/fr/", "allow"): n // 3}
+    plan = url_filter.judge(df, rules)
+    assert plan.where("host = ''").count() == 0 and plan.count() == n // 3 + 1
+
+
 def test_bloom_lets_all_listed_through(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
     words = url_filter.bloom(keys, 200)
@@ -377,6 +454,19 @@ def test_warc(spark, tmp_path):
     assert warc.read_records(warc.normalise(warc.write_archives(df.where("false")))).count() == 0
 
 
+def test_archives_of_many_small_pages(spark):
+    """Null pages, and one large payload again and again, fill several archives."""
+    big = "<p>" * 400
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    df = df.unionByName(spark.range(600).select(F.lit(7).cast("long").alias("page_id"), F.lit("u").alias("url"), F.lit(big).alias("html"))).unionByName(spark.range(300).select(F.col("id").alias("page_id"), F.lit("v").alias("url"), F.lit(big).alias("html")))
+    archives = warc.write_archives(df.repartition(5), archive_bytes=100_000).cache()
+    whole = [len(b"".join(warc.inflate(bytes(r.data)))) for r in archives.collect()]
+    assert len(whole) >= 15 and max(whole) < 350_000
+    got = Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_records(warc.normalise(archives)).collect())
+    assert got.pop((None, "response", None, 0)) == 3000
+    assert got == {(i, "revisit", 299, 1200): 601 if i == 7 else 1 for i in range(299)} | {(299, "response", None, 1200): 1}
+
+
 def brute_lines(rows):
     def key(line):
         return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
@@ -406,38 +496,6 @@ def test_lines(spark, docs, none):
     assert line_dedup.deduplicated(none).count() == 0
 
 
-def test_tokens(spark, docs, none):
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=sp_tokens.MODEL)
-    odd = [" ▁a", "日本語 😀 \x00 <s> </s> <unk> <0x41>", "  two  spaces ", "ÀÉ́ ﬁ", "tab\tand\r\nline", "a" * 3000]
-    rows = list(enumerate(texts() + odd))
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("parity", F.lit("clash"))
-    got = sp_tokens.encode(df, audit=1).collect()
-    assert {r.doc_id: r.ids for r in got} == {i: sp.encode(t or "") for i, t in rows}
-    assert all(r.round_trip and r.parity and r.n_tokens == len(r.ids) for r in got)
-    assert {r.doc_id: r.decoded_sha256 for r in got} == {i: hashlib.sha256((t or "").replace("▁", " ").encode()).hexdigest() for i, t in rows}
-    back = sp_tokens.decode(sp_tokens.encode(df).select("doc_id", "ids")).collect()
-    assert {r.doc_id: r.text for r in back} == {i: (t or "").replace("▁", " ") for i, t in rows}
-    assert sp_tokens.encode(none).count() == 0
-
-
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, name):
     assert spark_rows(queries.queries()[name](spark, SF)) == duck(queries.oracle_sql()[name])
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    sizes = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES:
-        out = common.cut(stage(spark, docs, SF))
-        if name != corpus_pipeline.STAGES[-1][0]:
-            assert out.schema.simpleString() == docs.schema.simpleString()
-        docs = out
-        sizes.append(docs.count())
-    assert sizes == sorted(sizes, reverse=True) and sizes[1] == sizes[2] and sizes[4] == sizes[5]
-    assert corpus_pipeline.run(spark, SF).count() == sizes[-1]
-    assert corpus_pipeline.run.__module__ == "corpus_pipeline" and sizes[-1] > 0.6 * sizes[0]
