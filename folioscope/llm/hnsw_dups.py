@@ -266,9 +266,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, shard_rows: int
     classes = classes.withColumn("dim", F.size("v"))
     shards = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
     dealt = classes.join(shards, ["label", "dim"]).select("label", "dim", F.pmod(F.xxhash64("cls", "v"), F.col("shards")).alias("shard"), "cls", "n", "v")
+    # Dealt by all keys: the joins' partitions, by label and dim, would put all shards of a label into one task.
+    dealt = dealt.repartition("label", "dim", "shard")
     built = cut(dealt.groupBy("label", "dim", "shard").applyInArrow(_build, _SHARD))
     partners = built.select("label", "dim", F.col("shard").alias("other"))
     pairs = built.join(partners, ["label", "dim"]).withColumn("x", F.least("shard", "other")).withColumn("y", F.greatest("shard", "other"))
+    pairs = pairs.repartition("label", "dim", "x", "y")
     found = cut(pairs.groupBy("label", "dim", "x", "y").applyInArrow(_search(threshold), "cls long, links long, to long"))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(found.where("cls <> to").select(F.col("to").alias("a"), F.col("cls").alias("b")))
