@@ -190,7 +190,8 @@ def near_links(prints: DataFrame, radius: int = 4, parts: int = 4) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("kind") == 0, F.col("qb")).otherwise(F.col("sb")) - 1))
     dealt = routed.join(sizes, "leaf").select("leaf", "kind", "fp", own.alias("own"), other.alias("other"))
     dealt = dealt.select("leaf", F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("other")).alias("x"), F.when(F.col("kind") == 0, F.col("other")).otherwise(F.col("own")).alias("y"), "kind", "fp")
-    return dealt.groupBy("leaf", "x", "y").applyInPandas(_compare(radius), "a long, b long")
+    # Dealt by all keys: the join's partitions, by leaf, would put all blocks of a leaf into one task.
+    return dealt.repartition("leaf", "x", "y").groupBy("leaf", "x", "y").applyInPandas(_compare(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
@@ -297,7 +298,7 @@ def _candidates(distinct: DataFrame, similarity: float) -> DataFrame:
     ring = F.floor(-F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(similarity)) + 1e-9).cast("long")
     routed = distinct.select("first", "fp", "n", _kinds((0, ring), (1, ring), (1, ring - 1)))
     dealt = _deal(routed, ["group"], F.lit(1), WIDE_STORED, WIDE_ASKED)
-    return dealt.groupBy("group", "x", "y").applyInPandas(_compare_wide(similarity), "a long, b long")
+    return dealt.repartition("group", "x", "y").groupBy("group", "x", "y").applyInPandas(_compare_wide(similarity), "a long, b long")
 
 
 def _verify(radius: int, similarity: float):
@@ -350,7 +351,7 @@ def _verified(sets: DataFrame, similarity: float) -> DataFrame:
     everywhere = F.col("w").isNotNull() & (drawn | (F.col("first") == F.col("root")))
     block = F.when(everywhere, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("first", "fp"), blocks)))
     placed = sets.join(large, "root", "left").select("root", F.explode(block).alias("block"), "first", F.col("first").alias("sub"), F.lit(2).alias("kind"), "fp", "h")
-    within = cut(placed.groupBy("root", "block").applyInPandas(verify, "a long, b long"))
+    within = cut(placed.repartition("root", "block").groupBy("root", "block").applyInPandas(verify, "a long, b long"))
     if large.isEmpty():
         return within
     subs = components(within).select(F.col("node").alias("first"), F.col("root").alias("sub"))
@@ -360,7 +361,7 @@ def _verified(sets: DataFrame, similarity: float) -> DataFrame:
     asked = rows.join(rest.select("root").distinct(), "root", "left_semi")
     both = rest.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)))
     dealt = _deal(cut(both), ["root"], weight, SET_HASHES, SET_HASHES)
-    return within.unionByName(dealt.groupBy("root", "x", "y").applyInPandas(verify, "a long, b long"))
+    return within.unionByName(dealt.repartition("root", "x", "y").groupBy("root", "x", "y").applyInPandas(verify, "a long, b long"))
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
