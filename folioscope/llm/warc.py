@@ -118,7 +118,8 @@ def write_archives(pages: DataFrame, least: int = LEAST, archive_bytes: int = AR
     """
     rows = payloads(pages)
     whole = F.col("size") + HEADER_BYTES + F.coalesce(F.octet_length("url"), F.lit(0))
-    sums = cut(rows.groupBy("page_id", "digest").agg(F.sum(whole).alias("bytes")))
+    meta = cut(rows.select("page_id", "digest", "size", whole.alias("bytes")))
+    sums = cut(meta.groupBy("page_id", "digest").agg(F.sum("bytes").alias("bytes")))
     archives = max(1, -(-(sums.agg(F.sum("bytes")).first()[0] or 0) // archive_bytes))
     hot = cut(sums.where(F.col("bytes") > archive_bytes).select(F.col("page_id").alias("hot_id"), F.col("digest").alias("hot_digest"), F.ceil(F.col("bytes") / archive_bytes).alias("spread")))
     few = hot.count() <= FEW_ROWS
@@ -131,7 +132,7 @@ def write_archives(pages: DataFrame, least: int = LEAST, archive_bytes: int = AR
         return dealt.drop("hot_id", "hot_digest", "spread", "salt")
 
     rows = spread(rows, F.coalesce(F.pmod(F.monotonically_increasing_id(), "spread"), F.lit(0)))
-    again = revisits(payloads(pages).select("page_id", "digest", "size"), least).select("page_id", "digest", "refers").distinct()
+    again = revisits(meta.select("page_id", "digest", "size"), least).select("page_id", "digest", "refers").distinct()
     again = spread(again, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("spread", F.lit(1)) - 1))).distinct()
     again = again.select("archive", "page_id", "digest", "refers").toDF("archive", "page_id", "digest", "refers")
     tasks = int(min(archives, MOST_TASKS))
