@@ -1,15 +1,18 @@
 """SentencePiece models run by the tokenizers library.
 
-The model file's protobuf is parsed here; normaliser, metaspace marker, pieces with their scores and byte
-fallback are rebuilt as a tokenizers pipeline. Unigram models keep their scores; for BPE models every pair of
-pieces that makes a third is a merge, in falling order of the third's score. Batches are encoded with several
-threads. Every text is encoded by the sentencepiece library too, copies within a chunk once; those that differ
-are marked. Every text is decoded again and held against its normalised form. `audit` above 1 holds only texts
-drawn by their hash, one in so many, against sentencepiece.
+The model file's protobuf is parsed here; normaliser, metaspace marker, pieces with their scores, user-defined
+pieces and byte fallback are rebuilt as a tokenizers pipeline. Unigram models keep their scores; for BPE models
+every pair of pieces that makes a third is a merge, in falling order of the third's score. Batches are encoded with
+several threads. Every text is encoded by the sentencepiece library too, copies within a chunk once. Where the two
+differ (ties of scores, which the libraries sum in different precision, or characters that their normalisers take
+differently), `parity` is false and the ids are those of sentencepiece, so ids are always the model's own. Every text
+is decoded again and held against its normalised form.
+
+Texts go through in chunks of some 200,000 bytes, whose lists are dropped before the next, and the tokenizer
+keeps no cache of texts, so a worker's memory follows the longest text.
 
 Defined results: a null or empty text has no tokens; rows with equal doc_id are encoded on their own; an empty
-table gives an empty result. Where the two libraries differ, the sentencepiece result is not taken over:
-`parity` is false.
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,18 +24,19 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import pieces
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-AUDIT = 1
 THREADS = 2
 MARK = "▁"
+#: Score of pieces that no text is cut into.
+LEAST_SCORE = -1e9
 #: Numbers of the format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -113,28 +117,32 @@ class Model:
         out.sort(key=lambda m: m[:3])
         return [m[3:] for m in out]
 
+    def normalizer(self):
+        """None if texts stay as they are, but for the marker."""
+        from tokenizers import Regex, normalizers
+
+        steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
+        if self.squeeze:
+            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        return normalizers.Sequence(steps) if steps else None
+
     def build(self):
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+        """The tokenizer of normalised texts."""
+        from tokenizers import AddedToken, Tokenizer, decoders, models
 
-        if any(kind == USER for *_, kind in self.pieces):
-            raise ValueError("models with user-defined pieces are not supported")
         unknown = next((i for i, (*_, kind) in enumerate(self.pieces) if kind == UNKNOWN), None)
         if self.kind == UNIGRAM:
-            core = models.Unigram([(p, s) for p, s, _ in self.pieces], unknown, self.byte_fallback)
+            core = models.Unigram([(p, s if kind in (NORMAL, USER, BYTE) else LEAST_SCORE) for p, s, kind in self.pieces], unknown, self.byte_fallback)
         elif self.kind == BPE:
             vocabulary = {p: i for i, (p, *_) in enumerate(self.pieces)}
-            core = models.BPE(vocabulary, self.merges(), unk_token=None if unknown is None else self.pieces[unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
+            core = models.BPE(vocabulary, self.merges(), cache_capacity=0, unk_token=None if unknown is None else self.pieces[unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
         else:
             raise ValueError(f"model type {self.kind}")
+        if hasattr(core, "_resize_cache"):
+            core._resize_cache(0)
         out = Tokenizer(core)
-        steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
-        if self.squeeze:
-            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
-        if self.dummy_prefix:
-            steps.append(normalizers.Prepend(MARK if self.escape else " "))
-        if self.escape:
-            steps.append(normalizers.Replace(" ", MARK))
-        out.normalizer = normalizers.Sequence(steps)
+        if own := [AddedToken(p, normalized=True, special=False) for p, _, kind in self.pieces if kind == USER]:
+            out.add_tokens(own)
         tail = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
         if self.dummy_prefix:
             tail.append(decoders.Strip(" ", 1, 0))
@@ -151,27 +159,35 @@ class Backend:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         self.model = Model.parse(data)
+        self.normalizer = self.model.normalizer()
         self.fast = self.model.build()
         self.slow = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.mark = MARK if self.model.escape else " "
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
-        #: For texts that are normalised already.
-        self.plain = self.model.build()
-        self.plain.normalizer = None
 
     def normalise(self, text: str) -> str:
-        if self.model.charsmap or self.model.squeeze:
-            return self.fast.normalizer.normalize_str(text)
+        if self.normalizer is not None:
+            text = self.normalizer.normalize_str(text)
         prefix = self.mark if text and self.model.dummy_prefix else ""
         return prefix + (text.replace(" ", MARK) if self.model.escape else text)
 
     def encode(self, normal: list[str]) -> list[list[int]]:
         """Tokens of normalised texts. They go in whole: merging with a heap is faster than cutting at words first."""
-        return [e.ids for e in self.plain.encode_batch_fast(normal, add_special_tokens=False)]
+        return [e.ids for e in self.fast.encode_batch_fast(normal, add_special_tokens=False)]
+
+    def pieces(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
+
+    def unmarked(self, text: bytes) -> bytes:
+        return text[1:] if self.model.dummy_prefix and text[:1] == b" " else text
 
     def decode(self, ids: list[int]) -> bytes:
-        out = b"".join(map(self.bytes.__getitem__, ids))
-        return out[1:] if self.model.dummy_prefix and out[:1] == b" " else out
+        return self.unmarked(self.pieces(ids))
+
+    def plain(self, normal: str) -> bytes:
+        """What a normalised text is decoded to."""
+        begin = int(self.model.dummy_prefix and normal.startswith(self.mark))
+        return normal[begin:].replace(MARK, " ").encode()
 
 
 @lru_cache(1)
@@ -181,56 +197,52 @@ def _loaded(data: bytes) -> Backend:
 
 _OUT = "ids array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean, parity boolean"
 MADE = ("ids", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip", "parity")
-_CHUNK = 2_000_000
+_CHUNK = 200_000
+
 
+#: Ids as 32-bit bytes, the decoded text, round trip and parity of a text.
+Made = tuple[bytes, bytes, bool, bool]
 
-def _encode(data: bytes, audit: int, kept: list[str]):
+
+def encoded(backend: Backend, texts: list[str]) -> list[Made]:
+    """Every different text of a chunk goes through both libraries."""
+    out = {}
+    normal = {t: backend.normalise(t) for t in texts}
+    for (text, plain), ids in zip(normal.items(), backend.encode(list(normal.values())), strict=True):
+        exact = backend.slow.encode(text)
+        back = backend.decode(exact)
+        out[text] = np.array(exact, np.int32).tobytes(), back, back == backend.plain(plain), ids == exact
+    return [out[t] for t in texts]
+
+
+def _encode(data: bytes, kept: list[str]):
     def run(batches):
         backend = _loaded(data)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= _CHUNK):
-                    size += len(texts[hi])
-                    hi += 1
-                some = texts[lo:hi]
-                normal = [backend.normalise(t) for t in some]
-                ids = backend.encode(normal)
-                back = [backend.decode(x) for x in ids]
-                cut_at = [int(backend.model.dummy_prefix and t.startswith(backend.mark)) for t in normal]
-                trip = [b == t[k:].replace(MARK, " ").encode() for t, k, b in zip(normal, cut_at, back, strict=True)]
-                own = {t: x for t, x in zip(some, ids, strict=True) if audit == 1 or xxhash.xxh3_64_intdigest(t.encode()) % audit == 0}
-                held = {t: x == backend.slow.encode(t) for t, x in own.items()}
-                parity = [held.get(t) for t in some]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *batch.slice(lo, hi - lo).select(kept).columns,
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                        pa.array(np.diff(ends).astype(np.int64)),
-                        pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends, ends[1:], strict=False)], pa.int64()),
-                        pa.array([hashlib.sha256(b).hexdigest() for b in back]),
-                        pa.array(trip, pa.bool_()),
-                        pa.array(parity, pa.bool_()),
-                    ],
-                    [*kept, *MADE],
-                )
-                lo = hi
+        for batch in pieces(batches, size=_CHUNK):
+            ids, backs, trips, parity = zip(*encoded(backend, [t or "" for t in batch.column("text").to_pylist()]), strict=True)
+            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            columns = [
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32))),
+                pa.array(sizes),
+                pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in backs]),
+                pa.array(trips),
+                pa.array(parity),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *columns], [*kept, *MADE])
 
     return run
 
 
-def encode(docs: DataFrame, model: str = MODEL, audit: int = AUDIT) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """The columns of docs but text, with ids, n_tokens, ids_crc32 (of 32-bit little-endian ids), decoded_sha256,
-    round_trip (decoding gave the normalised text) and parity (with sentencepiece; null only of texts not drawn by an audit above 1)."""
+    round_trip (decoding gave the normalised text) and parity (the rebuilt tokenizer gave what sentencepiece gives)."""
     with open(model, "rb") as f:
         data = f.read()
     kept = [f for f in docs.schema if f.name != "text" and f.name.lower() not in MADE]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), _OUT])
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col("text").cast("string").alias("text")).mapInArrow(_encode(data, audit, [f.name for f in kept]), schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col("text").cast("string").alias("text")).mapInArrow(_encode(data, [f.name for f in kept]), schema)
 
 
 def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
