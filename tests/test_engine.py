@@ -28,6 +28,13 @@ def test_concept_name_by_lexicon(spark):
     assert one(spark, "Решение задач на движение 12", lambda c: text.concept_name(c, lambda w: m[w])) == "решение задача на движение"
 
 
+def test_fallback_sentences_keep_their_first_characters(spark):
+    """A sentence that begins with its own place in the text, and one with spaces at its ends."""
+    said = [f"{i} and then some words that make it long enough." for i in range(3)]
+    rows = spark.createDataFrame([(0, " ".join(said)), (1, "  " + said[1] + "\n" + said[1])], "id int, t string").select("id", text.fallback_sentences(F.col("t")).alias("s"))
+    assert dict(rows.collect()) == {0: " ".join(said), 1: f"{said[1]} {said[1]}"}
+
+
 def test_page_paragraphs(spark):
     assert one(spark, "first paragraph is long\r\nenough\n\nshort\n\nsecond paragraph is long", text.page_paragraphs) == ["first paragraph is long enough", "second paragraph is long"]
     s = "A sentence of words. " * 30
