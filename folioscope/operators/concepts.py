@@ -43,9 +43,9 @@ def frequent_concepts(texts: DataFrame, key: list[str], lexicon: DataFrame | Non
     counts = tagged(words, lexicon).where(F.col("noun") & ~F.col("lemma").isin(T.CONTENT_STOP_WORDS)).groupBy(*key, "lemma").agg(F.count("*").alias("freq"), F.min("pos").alias("first"))
     order = Window.partitionBy(*key).orderBy(F.desc("freq"), "first")
     rows = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).withColumn("top", F.max("freq").over(Window.partitionBy(*key)))
-    score = F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.col("freq") / F.col("top"))) * (1 - F.col("rank") * 0.03)
+    score = F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.col("freq") / F.col("top"))) * ((100 - F.col("rank") * 3) / 100)  # in hundredths: 1 - 6 * 0.03 is a bit above 0.82
     quotes = texts.select(*key, F.left(T.fallback_sentences(F.col("text"), 1), F.lit(300)).alias("source_quote"))
-    return rows.join(quotes, key).select(*key, "rank", F.col("lemma").alias("name"), "freq", F.round(score, 3).alias("importance"), "source_quote")
+    return rows.join(quotes, key).select(*key, "rank", F.col("lemma").alias("name"), "freq", (F.floor(score * 1000 + 0.5) / 1000).alias("importance"), "source_quote")
 
 
 def clean_concepts(items: DataFrame, key: list[str], most: int = 10) -> DataFrame:

@@ -35,6 +35,13 @@ def test_fallback_sentences_keep_their_first_characters(spark):
     assert dict(rows.collect()) == {0: " ".join(said), 1: f"{said[1]} {said[1]}"}
 
 
+def test_importance_at_halves(spark):
+    """Seven of eight at rank six: a product a bit below 0.7175, as SQL has it."""
+    words = ["alpha"] * 8 + ["beta" + x for x in "abcde" for _ in range(7)]
+    rows = concepts.frequent_concepts(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), ["doc_id"])
+    assert {r.rank: r.importance for r in rows.collect()}[6] == 0.717
+
+
 def test_page_paragraphs(spark):
     assert one(spark, "first paragraph is long\r\nenough\n\nshort\n\nsecond paragraph is long", text.page_paragraphs) == ["first paragraph is long enough", "second paragraph is long"]
     s = "A sentence of words. " * 30
