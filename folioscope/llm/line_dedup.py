@@ -130,7 +130,8 @@ def _with_bitmaps(docs: DataFrame, least: int) -> DataFrame:
     """docs with `_lost`: the bitmap of each text's lost lines, or null."""
     lost = bitmaps(docs, least).select(F.col("doc").alias("_doc"), F.col("tk").alias("_tk"), F.col("lost").alias("_lost"))
     keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_tk": text_key()})
-    return keyed.join(lost, ["_doc", "_tk"], "left").drop("_doc", "_tk")
+    # Merged at every size: bitmaps grow with the documents, so sending them all to each task works for small tables only.
+    return keyed.join(lost.hint("merge"), ["_doc", "_tk"], "left").drop("_doc", "_tk")
 
 
 def _left(text: str | None, lost: bytes | None) -> tuple[str | None, int, int]:

@@ -496,6 +496,14 @@ def test_lines(spark, docs, none):
     assert line_dedup.deduplicated(none).count() == 0
 
 
+def test_bitmaps_are_not_broadcast(spark):
+    """However small the table: what is sent to all tasks must not grow with the documents."""
+    df = spark.createDataFrame([(i, f"a line that two hold\nown line {i}") for i in range(4)], "doc_id long, text string")
+    for out in (line_dedup.deduplicated(df), line_dedup.without_repeats(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, name):
     assert spark_rows(queries.queries()[name](spark, SF)) == duck(queries.oracle_sql()[name])
