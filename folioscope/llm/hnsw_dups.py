@@ -1,10 +1,10 @@
 """Embedding near-duplicates over hierarchical navigable small-world graphs, one for each shard of a label.
 
 Vectors of one label (and length) are dealt by hash into shards of at most about `shard_rows`; each gets a
-layered graph, however few they are. Every shard is searched with the vectors of every shard of its label. A beam whose
-every place holds a link is widened for its query; a beam whose audit (some queries held against brute force) misses a
-link or shows less recall than asked is doubled for all. Only where a beam as wide as the shard still fails its audit are
-all products taken. Candidates count only if their cosine in double precision reaches the threshold.
+layered graph, however few they are. Every shard is searched with the vectors of every shard of its label. A query that
+finds as many links as a node has neighbours stands in a dense group and then takes all products; a beam whose audit
+(some queries held against brute force) misses a link of the others or shows less recall than asked is doubled for all.
+Where a beam as wide as the shard still fails its audit all queries take all products. Candidates count only if their cosine in double precision reaches the threshold.
 Equal vectors are one class with a count, so a vector with very many copies costs as much as one.
 
 Defined results: a null label, a null, empty or zero vector and one with null or non-finite components have no
@@ -64,12 +64,13 @@ class Graph:
         seen[np.arange(b)[:, None], entry[:, :k]] = True
         sims[:, :k] = np.where(entry[:, :k] >= 0, np.einsum("bkd,bd->bk", self.x[entry[:, :k]], queries), -np.inf)
         live = np.arange(b)
+        step = max(4, width // 8)  # nodes opened at once: a wide beam is sorted again for each
         while True:
             live = live[~done[live].all(axis=1)]
             if not len(live):
                 return ids, sims
             open_sims = np.where(done[live], -np.inf, sims[live])
-            pick = np.argpartition(-open_sims, min(3, width - 1), axis=1)[:, :4]
+            pick = np.argpartition(-open_sims, min(step, width) - 1, axis=1)[:, :step]
             ok = np.take_along_axis(open_sims, pick, axis=1) > -np.inf
             nodes = np.where(ok, np.take_along_axis(ids[live], pick, axis=1), -1)
             done[live[:, None], pick] = True
@@ -154,7 +155,10 @@ class Graph:
         rows[heads, : kept.shape[1]] = kept
 
     def near(self, queries: np.ndarray, least: float, width: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, node) whose product reaches least, about; widens beams until the audit passes."""
+        """Pairs (query, node) whose product reaches least, about; widens beams until the audit passes.
+
+        Queries that find NEIGHBOURS links or more stand in a dense group and take all products.
+        """
         n, b = len(self.x), len(queries)
         audit = np.unique(np.linspace(0, b - 1, min(b, AUDIT)).astype(int))
         truth = queries[audit] @ self.x.T
@@ -163,31 +167,28 @@ class Graph:
         while (missed := not self._passes(queries[audit], truth, top, least, width)) and width < n:
             width = min(n, 2 * width)
         out_q, out_n = [], []
-        left = np.arange(b)
-        while len(left):
-            again = []
-            for k in range(0, len(left), 512):
-                some = left[k : k + 512]
-                if missed:
-                    q, node = np.nonzero(queries[some] @ self.x.T >= least)
-                    out_q.append(some[q])
-                    out_n.append(node)
-                    continue
+        for k in range(0, b, 512):
+            some = np.arange(k, min(b, k + 512))
+            if not missed:
                 ids, sims = self.beam(0, queries[some], self.descend(queries[some], 0), width)
-                full = (sims >= least).all(axis=1) & (width < n)
-                again.append(some[full])
-                q, c = np.nonzero((sims >= least) & ~full[:, None])
+                dense = self._dense(sims, least)
+                q, c = np.nonzero((sims >= least) & ~dense[:, None])
                 out_q.append(some[q])
                 out_n.append(ids[q, c])
-            left = np.concatenate(again) if again else left[:0]
-            width = min(n, 4 * width)
+                some = some[dense]
+            q, node = np.nonzero(queries[some] @ self.x.T >= least)
+            out_q.append(some[q])
+            out_n.append(node)
         return np.concatenate(out_q), np.concatenate(out_n)
 
+    def _dense(self, sims: np.ndarray, least: float) -> np.ndarray:
+        """Queries with as many links in their beam as a node has: of a group this large the graph may not lead to all."""
+        return ((sims >= least).sum(axis=1) >= NEIGHBOURS) & (sims.shape[1] < len(self.x))
+
     def _passes(self, queries: np.ndarray, truth: np.ndarray, top: np.ndarray, least: float, width: int) -> bool:
         """Whether a beam finds every link of some queries, and of their nearest nodes the share RECALL."""
         ids, sims = self.beam(0, queries, self.descend(queries, 0), width)
-        if width < len(self.x):
-            ids = np.where((sims >= least).all(axis=1)[:, None], -1, ids)  # those are widened anyway
+        ids = np.where(self._dense(sims, least)[:, None], -1, ids)  # those take all products anyway
         open_rows = (ids >= 0).any(axis=1)
         if not open_rows.any():
             return True

@@ -507,3 +507,18 @@ def test_bitmaps_are_not_broadcast(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, name):
     assert spark_rows(queries.queries()[name](spark, SF)) == duck(queries.oracle_sql()[name])
+
+
+def test_dense_groups_widen_no_beam(monkeypatch):
+    """200 near copies among 2000 others: more links than a beam has places, all found without a wider one."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(1, 12))
+    x = hnsw_dups._unit(np.concatenate([rng.normal(size=(2000, 12)), base + rng.normal(size=(200, 12)) * 0.01])).astype(np.float32)
+    graph, widths, beam = hnsw_dups.Graph(x), [], hnsw_dups.Graph.beam
+    monkeypatch.setattr(hnsw_dups.Graph, "beam", lambda self, layer, q, e, width: widths.append(width) or beam(self, layer, q, e, width))
+    monkeypatch.setattr(hnsw_dups, "RECALL", 0.5)
+    q, node = graph.near(x, 0.98)
+    got = {(i, j) for i, j in zip(q.tolist(), node.tolist(), strict=True) if i != j}
+    a, b = np.nonzero(x @ x.T >= 0.98)
+    assert got == {(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i != j}
+    assert max(widths) == hnsw_dups.BEAM
