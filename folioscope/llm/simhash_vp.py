@@ -239,12 +239,12 @@ def wide_fingerprint(text: str | None, size: int = 5) -> tuple[bytes, bytes, int
     return xxhash.xxh3_128_digest(h.tobytes()), np.packbits(2 * ones > len(h), bitorder="little").tobytes(), len(h)
 
 
-#: Rows stored and asked that are compared at once.
-_TILE = (256, 4096)
+#: Rows stored, of neighbouring sizes, that share a vantage-point tree.
+TREE_ROWS = 4096
 
 
 def _compare_wide(similarity: float):
-    """Labels of rows of like size whose fingerprints agree well enough, in the first word and in all."""
+    """Labels of rows of like size whose fingerprints agree well enough, in the first word, by vantage-point trees, and in all."""
     first, whole = wide_radius(similarity, 1, 5.5), wide_radius(similarity)
 
     def run(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -254,18 +254,19 @@ def _compare_wide(similarity: float):
         fp = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(-1, WORDS)
         s, q = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
         head, labels = np.ascontiguousarray(fp[:, 0]), Labels(len(names))
-        for a in range(0, len(s), _TILE[0]):
-            i = s[a : a + _TILE[0]]
+
+        def found(x: np.ndarray, y: np.ndarray) -> None:
+            ok = (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])) & (place[x] != place[y])
+            x, y = x[ok], y[ok]
+            ok = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= whole
+            labels.join(place[x[ok]], place[y[ok]])
+
+        for a in range(0, len(s), TREE_ROWS):
+            i = s[a : a + TREE_ROWS]
             # Both are in order of their sizes, so those of like size are one stretch.
             lo, hi = np.searchsorted(n[q], similarity * n[i[0]] - 1e-9), np.searchsorted(n[q], n[i[-1]] / similarity + 1e-9, side="right")
-            for b in range(lo, hi, _TILE[1]):
-                j = q[b : min(hi, b + _TILE[1])]
-                x, y = np.nonzero(np.bitwise_count(head[i, None] ^ head[j]) <= first)
-                x, y = i[x], j[y]
-                ok = (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])) & (place[x] != place[y])
-                x, y = x[ok], y[ok]
-                ok = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= whole
-                labels.join(place[x[ok]], place[y[ok]])
+            j = q[lo:hi]
+            search(head[i], head[j], first, lambda x, y, i=i, j=j: found(i[x], j[y]))
         moved = np.flatnonzero(labels.at != np.arange(len(names)))
         return pd.DataFrame({"a": names[labels.at[moved]], "b": names[moved]})
 
@@ -291,9 +292,9 @@ def _kinds(*kinds: tuple[int, Column]) -> Column:
 def _candidates(distinct: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) of `first` between sets of like size whose fingerprints agree well enough for this similarity.
 
-    Sets are compared with those of their own size class and the next, in blocks: balls this wide overlap nearly
-    every leaf of a vantage-point partition, so neither it nor a tree would prune. The first word of the fingerprints
-    is compared for all of like size, the others for what it leaves.
+    Sets meet those of their own size class and the next, in blocks: balls this wide overlap nearly every leaf of a
+    vantage-point partition of the fingerprints, so sizes partition them. In a block, vantage-point trees of the first
+    word find what lies within its radius among like sizes; the other words are compared for what they leave.
     """
     ring = F.floor(-F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(similarity)) + 1e-9).cast("long")
     routed = distinct.select("first", "fp", "n", _kinds((0, ring), (1, ring), (1, ring - 1)))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -522,3 +523,20 @@ def test_dense_groups_widen_no_beam(monkeypatch):
     a, b = np.nonzero(x @ x.T >= 0.98)
     assert got == {(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i != j}
     assert max(widths) == hnsw_dups.BEAM
+
+
+def test_near_copies_go_through_trees(monkeypatch):
+    """Candidates of a block come from vantage-point trees, and are those of comparing all pairs."""
+    rng = np.random.default_rng(6)
+    fp, n = rng.integers(0, 1 << 63, (600, simhash_vp.WORDS), dtype=np.uint64), rng.integers(90, 130, 600)
+    fp[300:] = fp[:300] ^ (np.uint64(1) << rng.integers(0, 63, (300, 1), dtype=np.uint64))
+    calls, search = [], simhash_vp.search
+    monkeypatch.setattr(simhash_vp, "search", lambda *a: calls.append(a[2]) or search(*a))
+    monkeypatch.setattr(simhash_vp, "TREE_ROWS", 128)
+    rows = pd.DataFrame({"first": np.tile(np.arange(600), 2), "fp": [x.tobytes() for x in fp] * 2, "n": np.tile(n, 2), "kind": np.repeat([0, 1], 600)})
+    got = simhash_vp._compare_wide(0.8)((), rows)
+    near = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2) <= simhash_vp.wide_radius(0.8)
+    near &= (np.minimum(n[:, None], n) >= 0.8 * np.maximum(n[:, None], n)) & (np.arange(600)[:, None] < np.arange(600))
+    want = brute_components(list(range(600)), list(zip(*(x.tolist() for x in np.nonzero(near)), strict=True)))
+    assert dict(zip(got["b"].tolist(), got["a"].tolist(), strict=True)) == {i: r for i, r in want.items() if i != r}
+    assert calls and set(calls) == {simhash_vp.wide_radius(0.8, 1, 5.5)}
