@@ -2,8 +2,10 @@
 
 The model file's protobuf is parsed here; normaliser, metaspace marker, pieces with their scores, user-defined
 pieces and byte fallback are rebuilt as a tokenizers pipeline. Unigram models keep their scores; for BPE models
-every pair of pieces that makes a third is a merge, in falling order of the third's score. Batches are encoded with
-several threads. Every text is encoded by the sentencepiece library too, copies within a chunk once. Where the two
+every pair of pieces that makes a third is a merge, in falling order of the third's score. Where no piece of a BPE
+model has the marker after another character, no merge crosses words, so texts are cut at words into stretches of some
+512 characters, whose merges cost less than one long text's; other models encode whole texts. A worker encodes with
+one thread, as each core has a task of its own. Every text is encoded by the sentencepiece library too, copies within a chunk once. Where the two
 differ (ties of scores, which the libraries sum in different precision, or characters that their normalisers take
 differently), `parity` is false and the ids are those of sentencepiece, so ids are always the model's own. Every text
 is decoded again and held against its normalised form.
@@ -24,6 +26,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,9 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-THREADS = 2
 MARK = "▁"
+#: Characters that a stretch of a text has at least, if it isn't the last.
+STRETCH = 512
 #: Score of pieces that no text is cut into.
 LEAST_SCORE = -1e9
 #: Numbers of the format: kinds of pieces and of models.
@@ -117,6 +121,13 @@ class Model:
         out.sort(key=lambda m: m[:3])
         return [m[3:] for m in out]
 
+    def at_words(self) -> bool:
+        """Whether texts may be cut before words: no piece has a marker after another character, and the marker alone is a piece."""
+        if self.kind != BPE or not self.escape or any(kind == USER for *_, kind in self.pieces):
+            return False
+        own = {p for p, _, kind in self.pieces if kind == NORMAL}
+        return MARK in own and not any(MARK in p.lstrip(MARK) for p in own)
+
     def normalizer(self):
         """None if texts stay as they are, but for the marker."""
         from tokenizers import Regex, normalizers
@@ -156,13 +167,13 @@ class Backend:
     def __init__(self, data: bytes):
         import sentencepiece
 
-        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Model.parse(data)
         self.normalizer = self.model.normalizer()
         self.fast = self.model.build()
         self.slow = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.mark = MARK if self.model.escape else " "
+        self.at_words = self.model.at_words()
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
 
     def normalise(self, text: str) -> str:
@@ -171,9 +182,32 @@ class Backend:
         prefix = self.mark if text and self.model.dummy_prefix else ""
         return prefix + (text.replace(" ", MARK) if self.model.escape else text)
 
+    def stretches(self, normal: str) -> list[str]:
+        """A normalised text cut where its pieces can't cross, before the markers of words."""
+        out, at = [], 0
+        if self.at_words:
+            k = normal.find(MARK, STRETCH)
+            while 0 < k < len(normal) - 1:  # a marker alone would be no text to sentencepiece
+                if normal[k - 1] == MARK:
+                    k = normal.find(MARK, k + 1)
+                    continue
+                out.append(normal[at:k])
+                at, k = k, normal.find(MARK, k + STRETCH)
+        return [*out, normal[at:]]
+
     def encode(self, normal: list[str]) -> list[list[int]]:
-        """Tokens of normalised texts. They go in whole: merging with a heap is faster than cutting at words first."""
-        return [e.ids for e in self.fast.encode_batch_fast(normal, add_special_tokens=False)]
+        """The rebuilt tokenizer's tokens of normalised texts. They go in by stretches: merging these with a heap is faster than whole texts or single words."""
+        cut = [self.stretches(t) for t in normal]
+        made = (e.ids for e in self.fast.encode_batch_fast(list(chain.from_iterable(cut)), add_special_tokens=False))
+        return [list(chain.from_iterable(islice(made, len(some)))) for some in cut]
+
+    def exact(self, text: str, normal: str) -> list[int]:
+        """sentencepiece's tokens of a text that is normalised to `normal`."""
+        # Only where its normaliser does no more than mark words is a stretch alone what it is in its text.
+        if len(normal) <= STRETCH or self.normalizer is not None or not self.model.dummy_prefix:
+            return self.slow.encode(text)
+        # A stretch begins with a marker, which sentencepiece puts there itself.
+        return list(chain.from_iterable(self.slow.encode(t[1:]) for t in self.stretches(normal)))
 
     def pieces(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -209,7 +243,7 @@ def encoded(backend: Backend, texts: list[str]) -> list[Made]:
     out = {}
     normal = {t: backend.normalise(t) for t in texts}
     for (text, plain), ids in zip(normal.items(), backend.encode(list(normal.values())), strict=True):
-        exact = backend.slow.encode(text)
+        exact = backend.exact(text, plain)
         back = backend.decode(exact)
         out[text] = np.array(exact, np.int32).tobytes(), back, back == backend.plain(plain), ids == exact
     return [out[t] for t in texts]

@@ -112,3 +112,37 @@ def test_made_models(spark, tmp_path, kind, byte_fallback, own):
     assert {r.doc_id: r.ids for r in got} == {i: sp.encode(t or "") for i, t in enumerate(rows)}
     # The rebuilt tokenizer itself agrees on nearly all, so that sentencepiece's ids seldom stand in.
     assert sum(r.parity for r in got) >= 0.97 * len(rows)
+
+
+def test_long_texts_are_cut_at_words():
+    import sentencepiece
+
+    with open(sp_tokens.MODEL, "rb") as f:
+        data = f.read()
+    sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+    backend = sp_tokens.Backend(data)
+    n, rnd = sp_tokens.STRETCH, random.Random(8)
+    some = ["word " * n, "a" * (n - 1) + " ", "a" * (n - 1) + "  ", "a" * n + "   b", " " * 3 * n, "a" * 3 * n, "日本 語 " * n, "▁a" * n, "x\x00 \n" * n]
+    some += ["".join(rnd.choice("ab é日\n  ▁") for _ in range(rnd.randint(n, 4 * n))) for _ in range(100)]
+    got = sp_tokens.encoded(backend, some)
+    assert [m[0] for m in got] == [struct.pack(f"<{len(x)}i", *x) for x in map(sp.encode, some)]
+    normal = list(map(backend.normalise, some))
+    assert backend.encode(normal) == [e.ids for e in backend.fast.encode_batch(normal, add_special_tokens=False)]
+    for t in map(backend.normalise, some):
+        cut = backend.stretches(t)
+        assert "".join(cut) == t and "▁" not in cut
+        assert all(a[-1] != "▁" == b[0] for a, b in zip(cut, cut[1:]))
+    assert max(map(len, backend.stretches(backend.normalise(some[0])))) <= n + 5
+
+
+def test_models_whose_pieces_cross_words_take_whole_texts():
+    def model(*more, kind=sp_tokens.BPE):
+        return sp_tokens.Model([("<unk>", 0.0, sp_tokens.UNKNOWN), *((p, -1.0, k) for p, k in more)], kind)
+
+    mark, a = (sp_tokens.MARK, sp_tokens.NORMAL), ("a", sp_tokens.NORMAL)
+    assert model(mark, a, ("▁▁", sp_tokens.NORMAL), ("▁▁a", sp_tokens.NORMAL)).at_words()
+    assert not model(mark, a, ("a▁", sp_tokens.NORMAL)).at_words()
+    assert not model(mark, a, ("▁a▁", sp_tokens.NORMAL)).at_words()
+    assert not model(a).at_words()
+    assert not model(mark, a, ("<sep>", sp_tokens.USER)).at_words()
+    assert not model(mark, a, kind=sp_tokens.UNIGRAM).at_words()
