@@ -22,7 +22,11 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import components, cut
 
 SHARD_ROWS = 8192
-NEIGHBOURS, BEAM, AUDIT, RECALL = 12, 48, 128, 0.99
+NEIGHBOURS, BEAM, AUDIT, RECALL = 24, 48, 128, 0.99
+#: Width of the beams that choose a new node's links. Many links, chosen among many, let narrow beams find what the audit asks for.
+BUILD_BEAM = 4 * NEIGHBOURS
+#: Queries searched at once, and products taken at once: what is gathered for them should stay in a core's cache.
+QUERIES, PRODUCTS = 256, 2048
 _SLACK = 1e-4
 
 
@@ -58,10 +62,11 @@ class Graph:
         rows, b = self.layers[layer], len(queries)
         ids, sims = np.full((b, width), -1, np.int32), np.full((b, width), -np.inf, np.float32)
         done = np.ones((b, width), bool)
-        seen = np.zeros((b, len(self.x) + 1), bool)  # the last place stands for no node
+        places = len(self.x) + 1
+        seen = np.zeros(b * places, bool)  # a query's last place stands for no node, as does the last one of the query before
         k = min(entry.shape[1], width)
         ids[:, :k], done[:, :k] = entry[:, :k], entry[:, :k] < 0
-        seen[np.arange(b)[:, None], entry[:, :k]] = True
+        seen[places * np.arange(b)[:, None] + entry[:, :k]] = True
         sims[:, :k] = np.where(entry[:, :k] >= 0, np.einsum("bkd,bd->bk", self.x[entry[:, :k]], queries), -np.inf)
         live = np.arange(b)
         step = max(4, width // 8)  # nodes opened at once: a wide beam is sorted again for each
@@ -77,17 +82,25 @@ class Graph:
             near = np.where(nodes[:, :, None] >= 0, rows[nodes], -1).reshape(len(live), -1)
             near.sort(axis=1)
             near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-            near[seen[live[:, None], near]] = -1
-            seen[live[:, None], near] = True
+            place = places * live[:, None] + near
+            near[seen[place]] = -1
+            seen[place] = True
             r, c = np.nonzero(near >= 0)
             got = np.full(near.shape, -np.inf, np.float32)
-            got[r, c] = np.einsum("ed,ed->e", self.x[near[r, c]], queries[live[r]])
+            got[r, c] = self._products(near[r, c], queries, live[r])
             all_sims = np.concatenate([sims[live], got], axis=1)
             top = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
             sims[live] = np.take_along_axis(all_sims, top, axis=1)
             ids[live] = np.take_along_axis(np.concatenate([ids[live], near], axis=1), top, axis=1)
             done[live] = np.take_along_axis(np.concatenate([done[live], near < 0], axis=1), top, axis=1)
 
+    def _products(self, nodes: np.ndarray, queries: np.ndarray, of: np.ndarray) -> np.ndarray:
+        out = np.empty(len(nodes), np.float32)
+        for k in range(0, len(nodes), PRODUCTS):
+            s = slice(k, k + PRODUCTS)
+            out[s] = np.einsum("ed,ed->e", self.x[nodes[s]], queries[of[s]])
+        return out
+
     def descend(self, queries: np.ndarray, to: int) -> np.ndarray:
         entry = np.zeros((len(queries), 1), np.int64)
         for layer in range(len(self.layers) - 1, to, -1):
@@ -114,7 +127,7 @@ class Graph:
         np.fill_diagonal(among, -np.inf)
         for layer in range(self.levels[new].max(), -1, -1):
             own = np.flatnonzero(self.levels[new] >= layer)
-            ids, sims = self.beam(layer, q[own], self.descend(q[own], layer), 2 * NEIGHBOURS)
+            ids, sims = self.beam(layer, q[own], self.descend(q[own], layer), BUILD_BEAM)
             mates = among[np.ix_(own, own)]
             k = min(NEIGHBOURS, len(own) - 1)
             if k > 0:
@@ -167,8 +180,8 @@ class Graph:
         while (missed := not self._passes(queries[audit], truth, top, least, width)) and width < n:
             width = min(n, 2 * width)
         out_q, out_n = [], []
-        for k in range(0, b, 512):
-            some = np.arange(k, min(b, k + 512))
+        for k in range(0, b, QUERIES):
+            some = np.arange(k, min(b, k + QUERIES))
             if not missed:
                 ids, sims = self.beam(0, queries[some], self.descend(queries[some], 0), width)
                 dense = self._dense(sims, least)

@@ -525,6 +525,21 @@ def test_dense_groups_widen_no_beam(monkeypatch):
     assert max(widths) == hnsw_dups.BEAM
 
 
+def test_spread_vectors_widen_no_beam(monkeypatch):
+    """4000 vectors spread to all sides, some with near copies: the narrowest beam finds its 0.99 of the nearest, and all links."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64))
+    x[3000:] = x[rng.integers(0, 2500, 1000)] + rng.normal(size=(1000, 64)) * rng.choice([0.05, 0.13, 0.3], (1000, 1))
+    x = hnsw_dups._unit(x).astype(np.float32)
+    graph, widths, beam = hnsw_dups.Graph(x), [], hnsw_dups.Graph.beam
+    monkeypatch.setattr(hnsw_dups.Graph, "beam", lambda self, layer, q, e, width: widths.append(width) or beam(self, layer, q, e, width))
+    q, node = graph.near(x, 0.98)
+    a, b = np.nonzero(x @ x.T >= 0.9801)
+    got = set(zip(q.tolist(), node.tolist(), strict=True))
+    assert {(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True)} <= got | {(j, i) for i, j in got}
+    assert max(widths) == hnsw_dups.BEAM and hnsw_dups.RECALL >= 0.99
+
+
 def test_near_copies_go_through_trees(monkeypatch):
     """Candidates of a block come from vantage-point trees, and are those of comparing all pairs."""
     rng = np.random.default_rng(6)
