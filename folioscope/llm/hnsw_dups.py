@@ -158,7 +158,9 @@ class Graph:
         extra[np.repeat(np.arange(len(heads)), count), np.arange(len(to)) - np.repeat(begin, count)] = source
         ids = np.sort(np.concatenate([rows[heads], extra], axis=1), axis=1)
         ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
-        sims = np.where(ids >= 0, np.einsum("bkd,bd->bk", self.x[ids], self.x[heads]), -np.inf)
+        r, c = np.nonzero(ids >= 0)
+        sims = np.full(ids.shape, -np.inf, np.float32)
+        sims[r, c] = self._products(ids[r, c], self.x, heads[r])
         order = np.argsort(-sims, axis=1, kind="stable")
         ids, sims = np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1)
         full = (ids >= 0).sum(axis=1) > rows.shape[1]
