@@ -4,8 +4,9 @@ The lines' keys are hashed to 128 bits; rows of hash, document and position are
 by all three, so one very common line spreads over as many partitions as it needs. Each partition is streamed:
 the first document of a hash keeps its lines, later ones lose theirs. A hash that runs on from the partition
 before is settled by one row for each partition (its first and last hash). The result is a compressed
-bitmap of lost lines for each document, not text. Texts are hashed by Spark itself, and the bitmaps are a table of
-their own, so no task keeps more than one Python worker.
+bitmap of lost lines for each document, not text: the words of 64 lines that hold one. Texts are hashed and bitmaps
+made by Spark itself, so no task keeps more than one Python worker. What was streamed is the only table written;
+lines are hashed again for the ranges' sample, as writing costs a program started for each file (see `tables.cut`).
 
 Defined results: a null text is one empty line; rows with equal doc_id are one document, so they don't take
 lines from each other; a null doc_id comes after all others, and all rows with it are one document; keys shorter
@@ -15,7 +16,6 @@ than `least` code points stay; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +95,7 @@ def lost_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc, tk, line) of every line that a document loses; doc is doc_id or the largest long for null."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), text_key().alias("tk"), F.col("text").cast("string").alias("text"))
-    lines = cut(rows.mapInArrow(_lines(least), "h1 long, h2 long, doc long, tk long, line int"))
+    lines = rows.mapInArrow(_lines(least), "h1 long, h2 long, doc long, tk long, line int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["h1", "h2", "doc", "line", "tk"]
     ranged = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -104,26 +104,23 @@ def lost_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     edges: dict[int, dict[int, tuple]] = {}
     for r in seen.where(F.col("kind").isin(HEAD, TAIL)).collect():
         edges.setdefault(r.pid, {})[r.kind] = ((r.h1, r.h2), r.doc)
-    owners, last = [], None
+    owners, last = [0] * (max(edges, default=0) + 1), None
     for pid in sorted(edges):
         head, tail = edges[pid][HEAD], edges[pid][TAIL]
-        first = last[1] if last and last[0] == head[0] else head[1]
-        owners.append((pid, first))
+        owners[pid] = first = last[1] if last and last[0] == head[0] else head[1]
         last = (tail[0], first if tail[0] == head[0] else tail[1])
-    owned = F.broadcast(spark.createDataFrame(owners, "pid int, first long"))
-    settled = seen.where(F.col("kind") == OPEN).join(owned, "pid").where("doc <> first")
-    return seen.where(F.col("kind") == LOST).select("doc", "tk", "line").unionByName(settled.select("doc", "tk", "line"))
+    # A constant, so that nothing is broadcast beside the merge with the texts.
+    first = F.expr(f"array({', '.join(f'{x}L' for x in owners)})")[F.col("pid")]
+    gone = (F.col("kind") == LOST) | ((F.col("kind") == OPEN) & (F.col("doc") != first))
+    return seen.where(gone).select("doc", "tk", "line")
 
 
 def bitmaps(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc, tk, lost): for each text that loses lines, a zlib-packed bitmap with ones at lost lines."""
-
-    @F.pandas_udf("binary")
-    def pack(lines):
-        return lines.map(lambda x: zlib.compress(np.packbits(np.bincount(x, minlength=1) > 0, bitorder="little").tobytes(), 1))
-
-    lost = lost_lines(docs, least).groupBy("doc", "tk").agg(F.collect_list("line").alias("lines"))
-    return cut(lost.select("doc", "tk", pack("lines").alias("lost")))
+    """(doc, tk, lost): for each text that loses lines, the words of 64 lines in which it does, with ones at lost lines."""
+    # Dealt out by text alone, so that both groupings and the merge with the texts need no further shuffle.
+    lost = lost_lines(docs, least).repartition("doc", "tk")
+    words = lost.groupBy("doc", "tk", F.shiftright("line", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, line & 63))").alias("bits"))
+    return words.groupBy("doc", "tk").agg(F.collect_list(F.struct("word", "bits")).alias("lost"))
 
 
 def _with_bitmaps(docs: DataFrame, least: int) -> DataFrame:
@@ -134,13 +131,13 @@ def _with_bitmaps(docs: DataFrame, least: int) -> DataFrame:
     return keyed.join(lost.hint("merge"), ["_doc", "_tk"], "left").drop("_doc", "_tk")
 
 
-def _left(text: str | None, lost: bytes | None) -> tuple[str | None, int, int]:
+def _left(text: str | None, lost: list[dict] | None) -> tuple[str | None, int, int]:
     """The text without its lost lines, how many lines it had and how many went."""
     lines = (text or "").split("\n")
     if lost is None:
         return text, len(lines), 0
-    gone = np.unpackbits(np.frombuffer(zlib.decompress(lost), np.uint8), bitorder="little")
-    kept = [x for i, x in enumerate(lines) if i >= len(gone) or not gone[i]]
+    words = {x["word"]: x["bits"] for x in lost}
+    kept = [x for i, x in enumerate(lines) if not words.get(i >> 6, 0) >> (i & 63) & 1]
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -505,6 +506,34 @@ def test_bitmaps_are_not_broadcast(spark):
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_lines_write_one_table(spark):
+    """Each file that a task writes starts programs, in which an executor's memory counts twice: only what was streamed is a table."""
+    df = spark.createDataFrame([(i, f"a line that two hold\nown line {i}") for i in range(4)], "doc_id long, text string")
+    for make in (line_dedup.deduplicated, line_dedup.without_repeats):
+        before = common.cuts_so_far(spark)
+        out = make(df)
+        assert len(common.cuts_so_far(spark) - before) == 1
+        assert sorted(r.text for r in out.collect()) == ["a line that two hold\nown line 0", "own line 1", "own line 2", "own line 3"]
+
+
+def test_cut_writes_no_side_files(spark):
+    path = common.cut(spark.range(100).repartition(4))._folioscope_path.removeprefix("file://")
+    names = os.listdir(path)
+    assert len([x for x in names if x.startswith("part-")]) == 4 and not [x for x in names if x.endswith(".crc")]
+
+
+def test_long_bitmaps(spark):
+    """Lost lines at both ends of words, in all of a word, and alone in a far one; a hash that runs over many partitions, with the least and greatest ids."""
+    rnd = random.Random(5)
+    shared = [f"shared line number {i}" for i in range(64)]
+    own = lambda i, n: [f"line {k} of document {i} alone" for k in range(n)]
+    least, most = -(1 << 63), (1 << 63) - 2
+    rows = [(least, "\n".join(shared)), (2, "\n".join(own(2, 63) + shared[:2] + own(2, 62)[::-1] + shared[2:3])), (3, "\n".join(own(3, 64) + shared)), (4, "\n".join(own(4, 5000) + shared[5:6]))]
+    rows += [(most - i, "\n".join(rnd.choices(shared, k=3))) for i in range(300)]
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()), key=repr) == brute_lines(rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, name):
     assert spark_rows(queries.queries()[name](spark, SF)) == duck(queries.oracle_sql()[name])
