@@ -370,3 +370,16 @@ def test_tables_are_dropped(spark):
     assert not os.path.exists(a._folioscope_path.removeprefix("file://")) and b.count() == 4
     tables.drop_cut(b)
     assert tables.cuts_so_far(spark) == before
+
+
+def test_quoted_summaries(spark):
+    """Two blocks' own summaries without a word to weigh, others of that kind, and a generic quote."""
+    dull = "la le ch " * 250
+    rows = [(1, i, "C", i, i, dull, s) for i, s in enumerate([dull, "No 12", "le la"], 1)] + [(2, 1, "C", 1, 1, "Main meaning: waves.", "Main meaning: waves."), (3, 1, "C", 1, 1, "Waves and tides of the sea.", " Waves  and tides. ")]
+    blocks = spark.createDataFrame(rows, "book int, order_number int, chapter_title string, start_paragraph int, end_paragraph int, source_text string, short_summary string")
+    quote = dull + "No 12"
+    said = [(1, 1, quote), (2, 1, "Main meaning: waves."), (3, 1, "Waves and tides."), (1, 2, "le la No 12"), (3, 2, "nothing that it says")]
+    held = spark.createDataFrame([(*r, 1, 3) for r in said], "book int, theme int, summary string, start_block int, end_block int")
+    got = {stand: {(r.book, r.theme): r.summary for r in themes.theme_summaries(held, blocks, quotes_stand=stand).collect()} for stand in (True, False)}
+    assert got[True] == {(1, 1): quote[:2000], (2, 1): "Main meaning: waves.", (3, 1): "Waves and tides.", (1, 2): dull[:1900].strip(), (3, 2): "Waves and tides."}
+    assert got[False] == got[True] | {(1, 1): dull[:1900].strip()}

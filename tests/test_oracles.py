@@ -1,5 +1,6 @@
 """Every query that SQL can say, against DuckDB; the others give rows."""
 
+import duckdb
 import pytest
 
 import folioscope.plans.analysis_queries
@@ -24,3 +25,18 @@ def test_entry_imports(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+@pytest.fixture(scope="module")
+def odd_documents(tmp_path_factory):
+    """Summaries that hold no word of three letters, beyond 1900 characters or of three blocks, and generic ones."""
+    texts = ["Ción ñta " * 280, "\n".join(["la le ch " * 30] * 10), "\n".join(f"Main meaning of the long line {i}: " + f"word{i} " * 90 for i in range(10)), "This section discusses the sea."]
+    out = tmp_path_factory.mktemp("odd")
+    duckdb.connect().execute(f"copy (select unnest(range(len($t))) as doc_id, unnest($t) as text) to '{out}/documents.parquet'", {"t": texts})
+    return str(out)
+
+
+@pytest.mark.parametrize("name", ["theme_summaries"])
+def test_equals_sql_on_odd_documents(spark, odd_documents, name):
+    names, rows = spark_rows(QUERIES[name](spark, odd_documents))
+    assert (names, rows) == duck(SQL[name], odd_documents) and len(rows) >= 8
