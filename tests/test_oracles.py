@@ -36,7 +36,7 @@ def odd_documents(tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["theme_summaries"])
+@pytest.mark.parametrize("name", ["theme_summaries", "theme_hierarchy", "map_theme_texts"])
 def test_equals_sql_on_odd_documents(spark, odd_documents, name):
     names, rows = spark_rows(QUERIES[name](spark, odd_documents))
     assert (names, rows) == duck(SQL[name], odd_documents) and len(rows) >= 8
